@@ -50,13 +50,16 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_q_p", F.expr(f"transform(filter(_q_s, (x, k) -> {again}), x -> x.i)"))
     chars = F.char_length("_q_t")
     without = lambda c: chars - F.char_length(F.regexp_replace("_q_t", c, ""))
+    repeated = F.size(F.array_distinct(F.flatten(F.transform("_q_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
+    # always true, but not to the optimizer: else a filter on this column would move below and put the arrays' definitions into the lambdas
+    fenced = F.when(F.spark_partition_id() >= 0, repeated)
     return df.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in {*COUNTS, "_q_upper", "_q_marks", "_q_kinds", "_q_rows"}],
         F.col("_q_n").cast("long").alias("n_words"),
         F.aggregate("_q_w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         without(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(F.flatten(F.transform("_q_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long").alias("n_repeat_words"),
+        fenced.alias("n_repeat_words"),
         without(r"[A-Z]").cast("long").alias("_q_upper"),
         without(r"[.,;:!?]").cast("long").alias("_q_marks"),
         F.size(F.array_distinct("_q_w")).cast("long").alias("_q_kinds"),

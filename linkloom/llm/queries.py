@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from linkloom.llm import quality, sharding
+from linkloom.llm import bpe, html, near_dup, packing, quality, sharding, urls
 
 QUERIES = {
-    "op10_quality_rules": quality.op10_quality_rules,
     "op2_sharding": sharding.op2_sharding,
+    "op3_packing": packing.op3_packing,
+    "op4_url_filters": urls.op4_url_filters,
+    "op7_near_dup": near_dup.op7_near_dup,
+    "op8_html_extraction": html.op8_html_extraction,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
