@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from linkloom.llm import bpe, html, near_dup, packing, quality, sharding, urls
+from linkloom.llm import bpe, html, lm, near_dup, packing, quality, sharding, toxicity, urls, vectors
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_sharding": sharding.op2_sharding,
     "op3_packing": packing.op3_packing,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_embedding_near_dup": vectors.op5_embedding_near_dup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dup": near_dup.op7_near_dup,
     "op8_html_extraction": html.op8_html_extraction,
     "op9_bpe": bpe.op9_bpe,
