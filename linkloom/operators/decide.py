@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 SOURCE_CAPS, EXEMPT = {2: 5, 3: 6}, 0.99
 RULE = {"threshold": 0.74, "alpha": 0.5, "gate": 0.0, "cap": 6}
 
-_ENTITY = Window.partitionBy("s1_id")
+def _entity():
+    return Window.partitionBy("s1_id")
 
 
 def pack(pairs: DataFrame) -> DataFrame:
@@ -20,9 +21,9 @@ def pack(pairs: DataFrame) -> DataFrame:
     source = Window.partitionBy("s1_id", "source")
     return pairs.withColumns(
         {
-            "rank_entity": F.row_number().over(_ENTITY.orderBy(*order)).cast("long"),
+            "rank_entity": F.row_number().over(_entity().orderBy(*order)).cast("long"),
             "rank_source": F.row_number().over(source.orderBy(*order)).cast("long"),
-            "best_entity": F.max("p").over(_ENTITY),
+            "best_entity": F.max("p").over(_entity()),
             "best_source": F.max("p").over(source),
         }
     )
@@ -44,7 +45,7 @@ def keep_probe(rule: dict) -> Column:
 
 def cascade(pairs: DataFrame, n: int, floor: float) -> DataFrame:
     """The n best of each entity, and all from the floor on."""
-    rank = F.row_number().over(_ENTITY.orderBy(F.desc("p"), F.asc("cand_id")))
+    rank = F.row_number().over(_entity().orderBy(F.desc("p"), F.asc("cand_id")))
     return pairs.withColumn("_rank", rank).where((F.col("_rank") <= n) | (F.col("p") >= floor)).drop("_rank")
 
 

@@ -56,17 +56,20 @@ def truth(rec: DataFrame) -> DataFrame:
 
 
 GOLD = "gold AS (SELECT s1_id, id AS cand_id FROM rec JOIN (SELECT digest, min(id) AS s1_id FROM rec WHERE source = 1 GROUP BY digest) g USING (digest) WHERE source > 1)"
-TEXT = F.concat_ws(" ", "name", "address")
+def text():
+    return F.concat_ws(" ", "name", "address")
+
+
 K = 10
 
 
 def weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return retrieval.tfidf_index(records(spark, sf).where("source > 1"), "id", TEXT)
+    return retrieval.tfidf_index(records(spark, sf).where("source > 1"), "id", text())
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     rec = records(spark, sf)
-    return retrieval.tfidf_topk(rec.where("source = 1"), "id", TEXT, rec.where("source > 1"), "id", TEXT, K)
+    return retrieval.tfidf_topk(rec.where("source = 1"), "id", text(), rec.where("source > 1"), "id", text(), K)
 
 
 TFIDF = r"""tok AS (SELECT id, source, unnest(regexp_extract_all(lower(name || ' ' || address), '[\p{L}\p{N}]{2,}')) AS term FROM rec),
@@ -263,7 +266,7 @@ def idf_overlap(spark, sf):
     """The idf of terms of both by that of terms of either, over the vocabulary, by joins: no idf map is gathered."""
     rec = records(spark, sf)
     _, vocabulary = weights(spark, sf)
-    terms = retrieval.term_counts(rec, "id", TEXT).join(vocabulary, "term").select("id", "term", "idf")
+    terms = retrieval.term_counts(rec, "id", text()).join(vocabulary, "term").select("id", "term", "idf")
     c = candidates(spark, sf).select(F.col("query_id").alias("s1_id"), F.col("cand_id").alias("c_id"))
     each = c.join(terms, c.s1_id == terms.id).drop("id").unionByName(c.join(terms, c.c_id == terms.id).drop("id"))
     each = each.groupBy("s1_id", "c_id", "term").agg(F.count("*").alias("n"), F.first("idf").alias("idf"))
