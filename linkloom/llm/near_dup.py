@@ -4,7 +4,7 @@ Documents with one and the same shingle set form a class; only its representativ
 Each document's signature is BANDS * ROWS universal hash minima; documents that agree on a whole band share a bucket,
 which two of similarity 0.8 fail to do in every band with probability (1 - 0.8**ROWS)**BANDS. A bucket isn't expanded into all
 pairs: its members are compared with its least member; only where members are then still in different components
-are the other pairs between components compared, so a large group of near copies gives about as many pairs as members.
+are the other pairs between components compared, inside tasks that hold a bucket or two blocks of one and return links alone.
 Pairs whose signatures tell a similarity far below the bound are dropped, the others are confirmed on full sets, read anew from
 the texts of the documents concerned.
 
@@ -14,20 +14,26 @@ document; an empty table gives no rows. Texts are shingled whole.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table, written
+from linkloom.llm.common import root_buckets, shared_dir, table, written
 from linkloom.llm.components import components
+from linkloom.llm.shared_files import mapped, save
 
 BANDS, ROWS = 40, 5
 #: Percent of the union that two sets must share.
 LEAST = 80
-#: Signature agreement below which a pair isn't compared: over five standard deviations under LEAST.
-ESTIMATE = 0.64
+#: Signature agreement below which a pair isn't compared: about five standard deviations under LEAST.
+ESTIMATE = 0.66
 SEED = 7
+#: Members of a bucket that are compared in one task.
+BLOCK = 1024
+MASK = (1 << 64) - 1
 CACHE = 400_000
 
 _rng = np.random.default_rng(SEED)
@@ -73,6 +79,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def shard_of(doc: int, shards: int) -> int:
+    return (doc * 0x9E3779B97F4A7C15 & MASK) * shards >> 64
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
     for column in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
@@ -145,6 +155,101 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -
     return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
+def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between members (band, m, doc, n, component) of one bucket and different components.
+
+    Pairs are compared within tasks and only links leave them: a bucket up to BLOCK members is in one task with others, a
+    larger one is cut into blocks of which each two meet in a task of their own. A pair that shares several bands is compared in
+    the first of them. Signatures cut to bytes come first; what they leave is settled on full sets, which lie in
+    memory-mapped files of the shared folder.
+    """
+    spark = rest.sparkSession
+    wanted = rest.select(F.col("doc").alias("doc_id")).distinct()
+    shards = max(4, root_buckets(wanted.count()) // 4)
+    folder = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+
+    def sets(batches):
+        import xxhash
+
+        for batch in batches:
+            ids, prints, texts = (batch.column(k).to_pylist() for k in range(3))
+            out = [shingle_set(t, width).tobytes() for t in texts]
+            keep = pa.array([xxhash.xxh3_128_digest(s) == p for s, p in zip(out, prints)], pa.bool_())
+            shard = pa.array([shard_of(i, shards) for i in ids], pa.int32())
+            yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array(out, pa.binary())], ["shard", "doc", "set"]).filter(keep)
+
+    def store(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("doc").sort_values("doc")
+        sizes = pdf["set"].str.len().to_numpy(np.int64) // 8
+        save(folder, str(key[0]), {"doc": pdf["doc"].to_numpy(np.int64), "at": np.r_[0, np.cumsum(sizes)].astype(np.int64), "set": np.frombuffer(b"".join(pdf["set"]), np.uint64)})
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    marked = reps.select("doc_id", "print", "sig").join(wanted, "doc_id", "left_semi")
+    docs.join(marked.select("doc_id", "print"), "doc_id").select("doc_id", "print", "text").mapInArrow(sets, "shard int, doc long, set binary").groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
+
+    def codes(batches):
+        for batch in batches:
+            out = []
+            for sig in batch.column(1).to_pylist():
+                sig = np.frombuffer(sig, np.uint32)
+                out.append(sig.astype(np.uint8).tobytes() + (band_keys(sig).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "code"])
+
+    coded = rest.join(marked.select("doc_id", "sig").mapInArrow(codes, "doc long, code binary"), "doc")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    dealt = coded.withColumn("own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lo, hi = F.least("own", "_with"), F.greatest("own", "_with")
+    task = F.when(blocks == 1, F.pmod(F.xxhash64("band"), F.lit(8 * shards))).otherwise(F.xxhash64("band", lo, hi))
+    dealt = dealt.select(task.alias("task"), "band", lo.alias("lo"), hi.alias("hi"), "own", "doc", "n", "component", "code")
+
+    def compare(pdf):
+        import pandas as pd
+
+        files: dict[int, dict] = {}
+
+        def full(doc):
+            k = shard_of(doc, shards)
+            if k not in files:
+                files[k] = mapped(folder, str(k))
+            f = files[k]
+            at = int(np.searchsorted(f["doc"], doc))
+            return f["set"][f["at"][at] : f["at"][at + 1]]
+
+        out = []
+        for (band, lo, hi), own in pdf.groupby(["band", "lo", "hi"], sort=False):
+            code = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
+            sig, keys = code[:, : len(_A)], np.ascontiguousarray(code[:, len(_A) :]).view("<u4")
+            here = int(np.flatnonzero((keys == np.uint32((int(band) & MASK) >> 32)).all(axis=0))[0])
+            doc, n, component, block = (own[c].to_numpy() for c in ("doc", "n", "component", "own"))
+            known: dict[int, np.ndarray] = {}
+            for i in range(len(own)):
+                # within a block each pair once; of two blocks only pairs between them
+                others = np.arange(i + 1, len(own))
+                if lo != hi:
+                    others = others[block[others] != block[i]]
+                others = others[(component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= LEAST * np.maximum(n[others], n[i]))]
+                others = others[~(keys[others, :here] == keys[i, :here]).any(axis=1)]
+                others = others[(sig[others] == sig[i]).mean(axis=1) >= ESTIMATE]
+                if not len(others):
+                    continue
+                for k in (i, *others.tolist()):
+                    if k not in known:
+                        known[k] = full(int(doc[k]))
+                mine, sizes = known[i], np.array([len(known[k]) for k in others])
+                every = np.concatenate([known[k] for k in others])
+                at = np.searchsorted(mine, every)
+                at[at == len(mine)] = 0
+                both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in others[100 * both >= LEAST * (len(mine) + sizes - both)]:
+                    out.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for docs (doc_id, text), a row for each row."""
     docs = docs.select("doc_id", "text")
@@ -163,13 +268,11 @@ def classes(docs: DataFrame, width: int = 5) -> DataFrame:
     first = buckets.where("doc <> a").select("a", F.col("doc").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("n_a"))).select("a", "b")
     links = written(_confirmed(first, reps, docs, width), "links")
     found = components(links)
-    # members of a bucket that are still apart, other than from its least member, with which they were compared
+    # members of a bucket that are still apart
     placed = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-    rest = written(placed.join(apart, "band", "left_semi").where("doc <> a").select("band", "doc", "n", "component"), "apart")
-    other = rest.withColumnsRenamed({"doc": "doc2", "n": "n2", "component": "component2"})
-    more = rest.join(other, "band").where("doc < doc2 AND component <> component2").where(fits(F.col("n"), F.col("n2"))).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-    links = links.unionByName(_confirmed(more, reps, docs, width))
+    apart = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("band", "m")
+    rest = written(placed.join(apart, "band").select("band", "m", "doc", "n", "component"), "apart")
+    links = links.unionByName(written(_apart_links(rest, reps, docs, width), "more"))
     ids = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     found = components(links.unionByName(ids))
     out = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
