@@ -15,6 +15,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,9 @@ GROUP_DOCS = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text whose ids are kept in a worker, at most.
-CACHE = 250_000
+CACHE = 800_000
+#: Characters of texts whose new chunks are encoded together.
+AHEAD = 1 << 20
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -50,20 +53,30 @@ class ChunkEncoder:
         return _encoders[path]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            known = self.known
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(chunks))
-                for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, chunks))
+        """Ids of each text as little-endian unsigned 32-bit integers. New chunks of some texts at a time are encoded together."""
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            some.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size >= AHEAD or k + 1 == len(texts):
+                self.learn(set().union(*some))
+                for chunks in some:
+                    yield b"".join(map(self.known.__getitem__, chunks))
+                some, size = [], 0
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(chunks)
+        if not new:
+            return
+        # one call for all: as words of one text, each is normalised and split by itself
+        got = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+        cuts = np.searchsorted(word, np.arange(len(new) + 1)).tolist()
+        data = ids.tobytes()
+        self.known.update((c, data[4 * i : 4 * j]) for c, i, j in zip(new, cuts, cuts[1:]))
 
 
 def vocabulary_path(name: str) -> str:
