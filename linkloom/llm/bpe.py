@@ -33,7 +33,9 @@ VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 1 << 16
 #: Longest pre-token, in bytes, that is merged in one go and remembered.
 SHORT = 128
-CACHE = 250_000
+CACHE = 800_000
+#: Characters of texts whose new words are merged together.
+AHEAD = 1 << 20
 NONE = np.int64(1 << 40)
 
 #: The pre-tokenizer's pattern, and how it sees white space.
@@ -152,9 +154,6 @@ class Bpe:
     # -- encoding --------------------------------------------------------------------------------------------------
 
     def words(self, new: list[bytes]) -> None:
-        """Encodes words that are not known yet."""
-        if len(self.tokens) + len(new) > CACHE:
-            self.tokens.clear()
         short = [w for w in new if len(w) <= SHORT]
         for k in range(0, len(short), 8192):
             self.tokens.update(zip(short[k : k + 8192], self.merge_many(short[k : k + 8192])))
@@ -172,21 +171,28 @@ class Bpe:
         out[0] = parts[0]
         return out
 
+    def prepare(self, parts: set[str]) -> None:
+        """Encodes the chunks that aren't known yet, all of their new words in one go."""
+        new = [c for c in parts if c not in self.chunks]
+        if not new:
+            return
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks.clear()
+            new = list(parts)
+        split = [[w.encode() for w in self.pattern.findall(c)] for c in new]
+        words = {w for ws in split for w in ws if w not in self.tokens}
+        if len(self.tokens) + len(words) > CACHE:
+            self.tokens.clear()
+            words = {w for ws in split for w in ws}
+        self.words(list(words))
+        known = self.tokens
+        for c, ws in zip(new, split):
+            self.chunks[c] = b"".join([known[w] if len(w) <= SHORT else self.long_word(w) for w in ws])
+
     def window(self, text: str) -> bytes:
-        parts, chunks = self.parts(text), self.chunks
-        if new := [c for c in set(parts) if c not in chunks]:
-            if len(chunks) + len(new) > CACHE:
-                chunks.clear()
-                new = list(set(parts))
-            split = [[w.encode() for w in self.pattern.findall(c)] for c in new]
-            if words := {w for ws in split for w in ws if w not in self.tokens}:
-                if len(self.tokens) + len(words) > CACHE:
-                    words = {w for ws in split for w in ws}
-                self.words(list(words))
-            known = self.tokens
-            for c, ws in zip(new, split):
-                chunks[c] = b"".join([known[w] if len(w) <= SHORT else self.long_word(w) for w in ws])
-        return b"".join(map(chunks.__getitem__, parts))
+        parts = self.parts(text)
+        self.prepare(set(parts))
+        return b"".join(map(self.chunks.__getitem__, parts))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the text, as little-endian unsigned 32-bit integers, in stable runs."""
@@ -264,6 +270,22 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
+def ahead(bpe: Bpe, texts: list) -> Iterator[str]:
+    """The texts, after the new words of some of them at a time have been merged together. Longer ones come window by window."""
+    some, size = [], 0
+    for k, text in enumerate(texts):
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= AHEAD or k + 1 == len(texts):
+            parts: set[str] = set()
+            for t in some:
+                if len(t) <= AHEAD and not any(x in t for x in bpe.special):
+                    parts.update(bpe.parts(t))
+            bpe.prepare(parts)
+            yield from some
+            some, size = [], 0
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the text decoded from them, of docs (doc_id, text)."""
     path = path or vocabulary_path(VOCABULARY)
@@ -272,7 +294,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in ahead(bpe, batch.column(1).to_pylist()):
                 n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
 
                 def runs(text=text or "", ids=ids):
