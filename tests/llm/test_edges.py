@@ -1,0 +1,98 @@
+"""Null, empty, very long, tied and repeated rows, empty tables and extra columns with clashing names, for every operator and stage."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from linkloom.llm import bpe, html, lm, near_dup, packing, quality, sharding, toxicity, urls, vectors
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component string, rank int, size int"
+LONG = " ".join(f"w{k}" for k in range(30_000))
+ROWS = [
+    (1, None, "en", None, None),
+    (2, "", "en", "a", 0),
+    (3, " \n\t ", None, "a", 3),
+    (4, LONG, "en", "a", len(LONG)),
+    (5, "same words here again", "en", "b", 1),
+    (6, "same words here again", "en", "b", 1),
+    (6, "same words here again", "en", "b", 1),
+    (None, "no id at all", "en", "b", 1),
+    (7, "X" * 5000, "en", "c", 1),
+]
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    out = {}
+    for name, rows, labels in (("full", ROWS, [(4, 1, 0), (5, 0, 1), (6, 0, 1), (6, 1, 0), (None, 1, 1), (7, None, None)]), ("empty", [], [])):
+        d = str(tmp_path_factory.mktemp(name))
+        spark.createDataFrame([(*r, True, "x", 1, 1) for r in rows], DOCS).coalesce(1).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, LABELS).coalesce(1).write.parquet(f"{d}/labels.parquet")
+        pages = [(1, None, None), (2, "no scheme", ""), (3, "HTTP://User@Example.ORG:80?q", "<p>a<p>b" + "<div>" * 3000), (3, "HTTP://User@Example.ORG:80?q", "<p>a<p>b")] if rows else []
+        spark.createDataFrame([(*p, "h", "p", 0.5) for p in pages], "page_id long, url string, html string, host string, path string, score double").coalesce(1).write.parquet(f"{d}/pages.parquet")
+        nan, inf = float("nan"), float("inf")
+        vecs = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [1.0, 0.1]), (9, [1.0, 0.1]), (10, [1e-200, 0.0]), (11, [1.0, 0.0, 0.0])] if rows else []
+        spark.createDataFrame([(i, v, 0, "x") for i, v in vecs], "vec_id long, embedding array<double>, label int, id string").coalesce(1).write.parquet(f"{d}/embeddings.parquet")
+        out[name] = d
+    return out
+
+
+DOC_QUERIES = [lm.op1_lm_scoring, sharding.op2_sharding, packing.op3_packing, toxicity.op6_toxicity, near_dup.op7_near_dup, bpe.op9_bpe, quality.op10_quality_rules]
+
+
+@pytest.mark.parametrize("query", DOC_QUERIES, ids=lambda q: q.__name__)
+def test_documents(spark, folders, query):
+    assert query(spark, folders["empty"]).count() == 0
+    got = query(spark, folders["full"]).toPandas()
+    if query is packing.op3_packing:
+        assert got["length"].sum() == got.drop_duplicates(["doc_id", "doc_tokens"])["doc_tokens"].sum() + 2 * got.loc[got["doc_id"] == 6, "doc_tokens"].iloc[0] - got.loc[got["doc_id"] == 6, "doc_tokens"].iloc[0]
+        assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    else:
+        assert sorted(got["doc_id"].fillna(-1)) == sorted(-1 if r[0] is None else r[0] for r in ROWS)
+
+
+def test_urls(spark, folders):
+    assert urls.op4_url_filters(spark, folders["empty"]).count() == 0
+    got = urls.op4_url_filters(spark, folders["full"]).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got[:2]] == [("", "", None, "allow")] * 2
+    assert got[2]["host"] == "user@example.org:80" and got[2]["path"] == "" and len(got) == 4
+
+
+def test_html(spark, folders):
+    assert html.op8_html_extraction(spark, folders["empty"]).count() == 0
+    got = html.op8_html_extraction(spark, folders["full"]).orderBy("page_id").collect()
+    assert [(r["text"], r["n_chars"]) for r in got] == [("", 0), ("", 0), ("a b", 3), ("a b", 3)]
+
+
+def test_vectors(spark, folders):
+    assert vectors.op5_embedding_near_dup(spark, folders["empty"]).count() == 0
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.op5_embedding_near_dup(spark, folders["full"]).collect())
+    lone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6)]
+    assert got == [*lone, (7, 4, 7, True), (8, 4, 7, False), (9, 4, 7, False), (9, 4, 7, False), (10, 4, 7, False), (11, 0, 11, True)]
+
+
+def test_pipeline(spark, folders):
+    assert corpus_pipeline.run(spark, folders["empty"]).count() == 0
+    docs = spark.read.parquet(folders["full"] + "/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folders["full"])
+        assert kept.columns == docs.columns, name
+        ids = {r["doc_id"] for r in kept.collect()}
+        if name == "near_dup":
+            assert 5 in ids and 6 not in ids and None in ids
+    assert corpus_pipeline.run(spark, folders["full"]).where("length > 0").count() > 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    from linkloom.llm.components import components
+
+    edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 140)] + [(5, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(21)} | {k: 100 for k in range(100, 140)}
+
+
+def test_discounts_without_counts():
+    assert lm.discounts(0, 0, 0, 0).tolist() == [0, 0.5, 0.5, 0.5]
+    x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    assert (lm.unmix(lm.mix(x)) == x).all()

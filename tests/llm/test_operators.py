@@ -1,0 +1,261 @@
+"""Operators against brute force, exact round trips and held-out accuracy, on the small tables."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from linkloom.llm import bpe, html, lm, near_dup, packing, quality, sharding, toxicity, urls, vectors
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_lm_is_kneser_ney(spark, docs):
+    got = {r["doc_id"]: r for r in lm.op1_lm_scoring(spark, SF).collect()}
+    train = [[b"<s>", *words(t), b"</s>"] for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni = Counter(w for s in train for w in s[1:])
+    big = Counter(p for s in train for p in zip(s, s[1:]))
+    n, v = sum(uni.values()), len(uni)
+    after, before, ctx = defaultdict(lambda: [0, 0, 0]), Counter(), Counter()
+    for (a, b), c in big.items():
+        after[a][min(c, 3) - 1] += 1
+        before[b] += 1
+        ctx[a] += c
+    cc = Counter(big.values())
+    c1 = Counter(before.values())
+    d2, d1 = lm.discounts(*(cc[k] for k in (1, 2, 3, 4))), lm.discounts(*(c1[k] for k in (1, 2, 3, 4)))
+    pairs = len(big)
+    floor = (d1[1] * c1[1] + d1[2] * c1[2] + d1[3] * (len(before) - c1[1] - c1[2])) / pairs / (v + 1)
+
+    def p(a, b):
+        low = (before[b] - d1[min(before[b], 3)]) / pairs + floor
+        if not ctx[a]:
+            return low
+        rest = sum(d2[k + 1] * x for k, x in enumerate(after[a])) / ctx[a]
+        c = big[a, b]
+        return (c - d2[min(c, 3)]) / ctx[a] + rest * low
+
+    for i, t in docs.items():
+        s, r = [b"<s>", *words(t), b"</s>"], got[i]
+        assert (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(s) - 1, n, sum(w in uni for w in s[1:]))
+        assert r["base_score"] == pytest.approx(sum(np.log10((uni[w] + 1) / (n + v + 1)) for w in s[1:]))
+        assert r["score"] == pytest.approx(sum(np.log10(p(a, b)) for a, b in zip(s, s[1:])), rel=1e-6)
+    # probabilities after a context sum to 1 over known words and the unknown one
+    a = max(ctx, key=ctx.get)
+    assert sum(p(a, b) for b in uni) + p(a, b"never seen") == pytest.approx(1)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_shards_match_the_mixture(spark, docs):
+    got = sharding.op2_sharding(spark, SF).toPandas()
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1 and len(sizes) == 40
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    rows = spark.createDataFrame([(i, "big" if i % 3 else "small", i, 16) for i in range(3000)], "doc_id long, source string, text_crc32 long, size long")
+    mixed = sharding.interleave(rows, 3000, 10).toPandas().groupby(["shard", "source"]).size().unstack()
+    assert (mixed["big"] - 200).abs().max() <= 1 and (mixed["small"] - 100).abs().max() <= 1
+    for i, size, crc in got[["doc_id", "size", "text_crc32"]].itertuples(index=False):
+        data = (docs[i] or "").encode()
+        assert (size, crc) == (len(data) + 16, zlib.crc32(data))
+
+
+def test_packing_covers_every_id(spark, docs):
+    got = packing.op3_packing(spark, SF).toPandas()
+    encoder = packing.ChunkEncoder.of(packing.vocabulary_path(packing.VOCABULARY))
+    for i, own in got.groupby("doc_id"):
+        ids = np.array(encoder.tok.encode(docs[i] or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
+        at = 0
+        for r in own.sort_values("start").itertuples():
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[4 * at : 4 * (at + r.length)])
+            at += r.length
+        assert at == len(ids) // 4 == own["doc_tokens"].iloc[0]
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= 2048
+
+
+@given(st.lists(st.integers(1, 50), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_first_fit_decreasing_is_first_fit(lengths):
+    lengths = sorted(lengths, reverse=True)
+    room, want = [], []
+    for n in lengths:
+        k = next((k for k, r in enumerate(room) if r >= n), len(room))
+        room += [50] * (k == len(room))
+        room[k] -= n
+        want.append(k)
+    assert packing.first_fit_decreasing(lengths, 50) == want
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path(bpe.VOCABULARY)
+    return bpe.Bpe(path), Tokenizer.from_file(path)
+
+
+@given(st.text(alphabet="abAB' sthd.,!\n\t \x1c\x85\xa0éçñß中文\U0001f600́<|endoftx>0123", max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_bpe_round_trip(tokenizer, text):
+    own, lib = tokenizer
+    ids = np.frombuffer(b"".join(own.encode(text)), "<u4").tolist()
+    assert ids == lib.encode(text, add_special_tokens=False).ids
+    assert "".join(own.decode(own.encode(text))) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_transducer_and_windows(tokenizer, docs, monkeypatch):
+    own, lib = tokenizer
+    rnd = random.Random(2)
+    for text in ["a" * 3000, "".join(rnd.choice("abcdeth") for _ in range(4000)), "中文" * 900, "!?" * 700, "x<|endoftext|> y", "  " * 500 + "z \n\n" * 90]:
+        want = lib.encode(text, add_special_tokens=False).ids
+        for short, window in ((4, 50), (128, 1 << 16)):
+            monkeypatch.setattr(bpe, "SHORT", short)
+            monkeypatch.setattr(bpe, "WINDOW", window)
+            own.chunks.clear(), own.tokens.clear()
+            assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == want
+    for text in list(docs.values())[:40]:
+        assert np.frombuffer(b"".join(own.encode(text or "")), "<u4").tolist() == lib.encode(text or "", add_special_tokens=False).ids
+
+
+def test_url_rules_and_model(spark):
+    cases = [
+        ("http://a.org/x", "org/", "allow"), ("http://org/", "org/", "allow"), ("http://notorg/x", None, "allow"), ("http://example.org/es/1", "example.org/es/", "block"),
+        ("http://m.example.org/en/12?x", "example.org/en/1", "block"), ("http://example.org/en/2", "org/", "allow"), ("http://Foo.COM/fr/#a", "com/fr/", "allow"), ("http://foo.com/de/", "com/de/", "block"), ("http://a.org", None, "allow"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    got = urls.judge(df).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [c[1:] for c in cases]
+    model = urls.train(urls.seed_table())
+    blocked = [model.probability(*urls.split_url(u)) >= 0.5 for u in ("http://www.casino-win.example.com/en/1", "http://cheap-pills.example.net/a", "https://blog.tionsh.example.net/en/7", "https://ththan.example.com/fr/2")]
+    assert blocked == [True, True, False, False]
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    rows = [b + s * rng.standard_normal(16) for b in base for s in (0.0, 0.02, 0.3, 0.6)] + [base[0]] * 30 + [base[1] + 0.01 * rng.standard_normal(16) for _ in range(200)]
+    rows = np.array(rows)[rng.permutation(len(rows))]
+    u = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = vectors.link(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")).orderBy("vec_id").toPandas()
+    assert got["n_links"].sum() >= 0.98 * link.sum() and (got["n_links"].to_numpy() <= link.sum(1)).all()
+    least = np.arange(len(rows))
+    while True:
+        new = np.minimum(least, np.where(link, least[None, :], 10**9).min(1))
+        if (new == least).all():
+            break
+        least = new
+    assert (got["component_id"].to_numpy() == least).mean() > 0.98
+
+
+@given(st.lists(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 3), min_size=1, max_size=4), min_size=1, max_size=150), st.dictionaries(st.sampled_from("abcdefghz"), st.integers(1, 3), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_block_max_search_is_exact(rows, query):
+    idf = {t: 1 + k / 7 for k, t in enumerate("abcdefgh")}
+    plain = toxicity.Index(idf, [], [], [])
+    index = toxicity.Index(idf, [plain.vector(Counter(r)) for r in rows], [0] * len(rows), list(range(len(rows))))
+    q = index.vector(Counter(query))
+    got, cos = index.nearest(q, 5)
+    want = sorted((sum(q.get(t, 0) * w for t, w in plain.vector(Counter(r)).items()) for r in rows), reverse=True)
+    want = [c for c in want if c > 1e-12][:5]
+    assert np.allclose(cos, want) and len(set(got.tolist())) == len(got)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in toxicity.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert sum(p == y for _, p, y in got) / len(got) > 0.93 and all(0 <= s <= 1 for s, _, _ in got)
+
+
+def brute_components(docs, width):
+    sets = {}
+    for i, t in docs.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    least = {i: i for i in docs}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and find(a) != find(b):
+                least[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def test_near_duplicates_against_brute_force(spark, docs):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.op7_near_dup(spark, SF).collect()}
+    assert got == brute_components(docs, 2)
+
+
+def test_near_copies_of_near_copies(spark):
+    """Many copies around the bound: members of a bucket that its least member doesn't link are compared too."""
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = {}
+    for i in range(120):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 4, 6, 8])):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        docs[i] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.classes(df, 2).collect()}
+    assert got == brute_components(docs, 2)
+
+
+def test_html(spark):
+    page = """<html><head><title>T</title></head><body class="with-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
+    <div class="post-content-17"><h1>Head &amp; more</h1><p>One <b>t</b>wo.<p>Next&nbsp;one &lt;x&gt;<ul><li>a<li>b</ul><div class="ad-slot">BUY</div><form>name<input></form>
+    <p style="display:none">hidden</p><script>var x="</p>";</script></div><aside>side</aside><section id="comments"><p>nice post</section><footer>f</footer>"""
+    assert html.extract(page, None) == "Head & more One two. Next one <x> a b"
+    rows = [(i, f"http://h.net/{i}", page.replace("17", str(i))) for i in range(5)] + [(9, "http://h.net/9", "<div class='other'><p>plain")]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in got] == ["Head & more One two. Next one <x> a b"] * 5 + ["plain"]
+    best = html.winners(spark.createDataFrame([("h", page)], "host string, html string")).first()
+    assert best["path"] == "html/body.with-sidebar/div.post-content-0"
+
+
+def test_quality_counts_and_rules(spark):
+    rows = [(1, "a b c a b c x\n\nq\nq\n q"), (2, "# $ a"), (3, "a b c d"), (4, "a a a a")]
+    got = {r["doc_id"]: tuple(r[c] for c in quality.COUNTS) for r in quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def want(t):
+        import re
+
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        g = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        again = {k + d for k in range(len(w) - 2) for d in range(3) if g[tuple(w[k : k + 3])] > 1}
+        lines = [s for s in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again)
+
+    assert got == {i: want(t) for i, t in rows}
+    cuts = {"f": [1.0, 2.0], "g": [0.5]}
+    cells = [((0, 0), f, False, 50) for f in (True, False)] + [((2, 0), f, True, 20) for f in (True, False)] + [((2, 1), f, False, 20) for f in (True, False)]
+    assert quality.cover(cuts, cells) == [[("f", ">", 2.0), ("g", "<=", 0.5)]] or quality.cover(cuts, cells) == [[("g", "<=", 0.5), ("f", ">", 2.0)]] or quality.cover(cuts, cells) == [[("f", ">", 1.0), ("g", "<=", 0.5)]]
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(r["kept"], truth[r["doc_id"]]) for r in quality.op10_quality_rules(spark, sf).collect() if r["doc_id"] in truth and not r["base_failed"]]
+    assert sum(k == bool(y) for k, y in judged) / len(judged) > 0.95
