@@ -30,6 +30,8 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Words of blocked and of allowed sites from which the labelled table is made.
 BLOCK_WORDS = "casino poker slots jackpot betting gambling cheap pills pharma viagra loans payday spam farm win winner prize lottery xxx porn adult escort warez crack keygen torrent malware phishing clickbait replica bitcoin miracle ads tracker track popunder free bets".split()
 ALLOW_WORDS = "news library museum science garden travel recipes weather music history city school college research journal archive health books maps sports docs code forum photo film theatre nature energy law market".split()
+#: Frequent letter groups of English, of which further allowed hosts are made.
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce ing tion ble ment".split()
 PREFIXES = ["", "www.", "m.", "blog."]
 DOMAINS = ["example.com", "example.net", "example.org"]
 
@@ -40,6 +42,7 @@ def seed_table() -> list[tuple[str, int]]:
     for k, w in enumerate(BLOCK_WORDS):
         v = BLOCK_WORDS[(k * 7 + 3) % len(BLOCK_WORDS)]
         out += [(f"http://{PREFIXES[k % 4]}{w}-{v}.{DOMAINS[k % 3]}/en/{k}", 1), (f"https://{PREFIXES[(k + 1) % 4]}{w}{v}.{DOMAINS[(k + 1) % 3]}/{w}/{k * 3}.html", 1), (f"https://{w}.{DOMAINS[(k + 2) % 3]}/{v}", 1)]
+        out += [(f"https://{PREFIXES[n % 4]}{form.format(w)}.{DOMAINS[(k + n) % 3]}/{('en', 'fr', 'de', 'es')[n % 4]}/{k + n}", 1) for n, form in enumerate(("{}-x", "my-{}", "{}-24", "top{}", "{}-online", "the-{}-site"))]
     for k, w in enumerate(ALLOW_WORDS):
         v = ALLOW_WORDS[(k * 11 + 5) % len(ALLOW_WORDS)]
         out += [(f"http://{PREFIXES[k % 4]}{w}-{v}.{DOMAINS[k % 3]}/{('en', 'fr', 'de', 'es')[k % 4]}/{k}", 0), (f"https://{PREFIXES[(k + 1) % 4]}{w}{v}.{DOMAINS[(k + 1) % 3]}/{w}/{k * 3}.html", 0), (f"https://{w}.{DOMAINS[(k + 2) % 3]}/{v}", 0)]
@@ -47,6 +50,9 @@ def seed_table() -> list[tuple[str, int]]:
     for k in range(4 * len(BLOCK_WORDS)):
         name = "".join(c + v for c, v in zip(letters.choice(list("bcdfghlmnprstvw"), 4), letters.choice(list("aeiou"), 4)))
         out.append((f"https://{PREFIXES[k % 4]}{name}.{DOMAINS[k % 3]}/{('en', 'fr', 'de', 'es')[k % 4]}/{k * 9}", 0))
+    for k in range(8 * len(BLOCK_WORDS)):
+        name = "".join(letters.choice(SYLLABLES, 2 + k % 3))
+        out.append((f"http://{PREFIXES[k % 4]}{name}.{DOMAINS[k % 3]}/{('en', 'fr', 'de', 'es')[k % 4]}/{k * 7}", 0))
     return out
 
 
