@@ -49,3 +49,26 @@ def prediction_sanity(entities: DataFrame, predicted: DataFrame, by: str = "coun
     n = predicted.groupBy("s1_id").agg(F.count("*").alias("n"))
     rows = entities.join(n, "s1_id", "left").fillna(0, ["n"])
     return rows.groupBy(by).agg(F.count("*").alias("entities"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("singleton_rate"), F.round(F.avg("n"), 6).alias("mean_list"))
+
+
+def typed_errors(predicted: DataFrame, gold: DataFrame, blocked: DataFrame) -> DataFrame:
+    """s1_id, other_id, error_type and in_candidates of wrong and missed pairs.
+
+    A link of an entity without gold is a singleton_false_merge, another wrong one a false_positive; a missed pair is a
+    blocking_miss if it was never a candidate, else a false_negative.
+    """
+    have = gold.select("s1_id").distinct().withColumn("_has", F.lit(True))
+    seen = blocked.select("s1_id", "cand_id").distinct().withColumn("_seen", F.lit(True))
+    wrong = predicted.select("s1_id", "cand_id").join(gold, ["s1_id", "cand_id"], "left_anti").join(have, "s1_id", "left")
+    wrong = wrong.withColumn("error_type", F.when(F.col("_has"), "false_positive").otherwise("singleton_false_merge")).drop("_has")
+    missed = gold.select("s1_id", "cand_id").join(predicted, ["s1_id", "cand_id"], "left_anti").withColumn("error_type", F.lit(None).cast("string"))
+    both = wrong.unionByName(missed).join(seen, ["s1_id", "cand_id"], "left").withColumn("in_candidates", F.coalesce("_seen", F.lit(False)))
+    kind = F.coalesce("error_type", F.when(F.col("in_candidates"), "false_negative").otherwise("blocking_miss"))
+    return both.select("s1_id", F.col("cand_id").alias("other_id"), kind.alias("error_type"), "in_candidates")
+
+
+def examples(errors: DataFrame, n: int = 15) -> DataFrame:
+    """The first n errors of each type, for a report."""
+    from linkloom.operators.retrieval import top
+
+    return top(errors, ["error_type"], [F.asc("s1_id"), F.asc("other_id")], n)

@@ -460,6 +460,14 @@ def error_ledger(spark, sf):
     return led.groupBy(F.substr("cand_id", F.lit(2), F.lit(1)).cast("int").alias("source"), "outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"{_WON}, {GOLD}, er AS (SELECT w.s1_id, w.cand_id AS other_id, CASE WHEN w.s1_id IN (SELECT s1_id FROM gold) THEN 'false_positive' ELSE 'singleton_false_merge' END AS error_type, true AS in_candidates FROM won w ANTI JOIN gold USING (s1_id, cand_id)"
+    " UNION ALL SELECT g.s1_id, g.cand_id, CASE WHEN s.cand_id IS NULL THEN 'blocking_miss' ELSE 'false_negative' END, s.cand_id IS NOT NULL FROM gold g ANTI JOIN won USING (s1_id, cand_id) LEFT JOIN scd s ON s.s1_id = g.s1_id AND s.cand_id = g.cand_id) SELECT * FROM er"
+)
+def typed_errors(spark, sf):
+    return metrics.typed_errors(assigned(spark, sf), truth(records(spark, sf)), scored(spark, sf))
+
+
 @query(f"{_WON} SELECT country, count(*) AS entities, round(avg((coalesce(n, 0) = 0)::INT::DOUBLE), 6) AS singleton_rate, round(avg(coalesce(n, 0)), 6) AS mean_list FROM rec LEFT JOIN (SELECT s1_id, count(*) AS n FROM won GROUP BY 1) x ON x.s1_id = id WHERE source = 1 GROUP BY country")
 def prediction_sanity(spark, sf):
     entities = records(spark, sf).where("source = 1").select(F.col("id").alias("s1_id"), "country")
