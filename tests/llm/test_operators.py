@@ -165,6 +165,20 @@ def test_vectors_against_brute_force(spark):
     assert (got["component_id"].to_numpy() == least).mean() > 0.98
 
 
+def test_vectors_in_a_dense_region_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    # a third of the rows around one direction, at a mean cosine of 0.8, and partners at a cosine of about 0.92 within it
+    cone = unit(np.sqrt(0.8) * unit(rng.standard_normal(64)) + np.sqrt(0.2) * unit(rng.standard_normal((2800, 64))))
+    partners = unit(cone[:400] + np.sqrt(1 / 0.92**2 - 1) * unit(rng.standard_normal((400, 64))))
+    u = np.concatenate([unit(rng.standard_normal((6400, 64))), cone, partners])
+    u = u[rng.permutation(len(u))]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = vectors.link(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(u)], "vec_id long, embedding array<double>")).orderBy("vec_id").toPandas()
+    assert link.sum() > 700 and got["n_links"].sum() >= 0.99 * link.sum() and (got["n_links"].to_numpy() <= link.sum(1)).all()
+
+
 @given(st.lists(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 3), min_size=1, max_size=4), min_size=1, max_size=150), st.dictionaries(st.sampled_from("abcdefghz"), st.integers(1, 3), max_size=4))
 @settings(max_examples=60, deadline=None)
 def test_block_max_search_is_exact(rows, query):
