@@ -236,15 +236,16 @@ def romanize_text(s: str | None) -> str:
     return re.sub(r"\s+", " ", "".join(c for c in s if not unicodedata.combining(c))).strip().lower()
 
 
-def segment(stem: str | None, counts: dict[str, int], total: int) -> list[str]:
-    """The cheapest split into words by their negative log frequencies."""
+def segment(stem: str | None, counts: dict[str, int], total: int, vocabulary: int | None = None) -> list[str]:
+    """The cheapest split into words by their negative log frequencies. counts may hold only the stem's own pieces if the vocabulary's size is given."""
+    size = len(counts) if vocabulary is None else vocabulary
     s = re.sub("[^a-z0-9]", "", (stem or "").lower())
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(s) + 1):
         options = []
         for start in range(max(0, end - LONGEST_PIECE), end):
             n = counts.get(s[start:end], 0)
-            cost = -math.log((n + 0.1) / (total + max(len(counts), 1))) if n else UNKNOWN_COST + UNKNOWN_PER_LETTER * (end - start)
+            cost = -math.log((n + 0.1) / (total + max(size, 1))) if n else UNKNOWN_COST + UNKNOWN_PER_LETTER * (end - start)
             options.append((best[start][0] + cost, start))
         best.append(min(options))
     out, end = [], len(s)
@@ -274,14 +275,21 @@ def strip_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)))
 
 
-def segment_with(counts: dict[str, int], total: int):
-    """segment as a UDF; the counts travel with it, so keep them to a vocabulary of bounded size."""
+@F.pandas_udf(STRINGS)
+def pieces(s: pd.Series) -> pd.Series:
+    """The distinct pieces that segment may take as words."""
 
-    @F.pandas_udf(STRINGS)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: segment(x, counts, total))
+    def of(stem):
+        x = re.sub("[^a-z0-9]", "", (stem or "").lower())
+        return sorted({x[a:b] for a in range(len(x)) for b in range(a + 1, min(len(x), a + LONGEST_PIECE) + 1)})
 
-    return run
+    return s.map(of)
+
+
+@F.pandas_udf(STRINGS)
+def segment_by(stem: pd.Series, words: pd.Series, n: pd.Series, total: pd.Series, vocabulary: pd.Series) -> pd.Series:
+    """segment, by the stem's own pieces among all words, with their counts."""
+    return pd.Series([segment(s, dict(zip(w, c)), t, v) for s, w, c, t, v in zip(stem, words, n, total, vocabulary)])
 
 
 def normalize(c: Column | str, address: bool = False) -> Column:

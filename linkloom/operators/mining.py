@@ -26,6 +26,16 @@ def unigrams(rows: DataFrame, name: Column) -> DataFrame:
     return rows.select(F.explode(T.tokens(name)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def segments(stems: DataFrame, counts: DataFrame) -> DataFrame:
+    """stem and words: distinct stems, cut by all the unigrams (token, n). Each stem meets its own pieces' counts by a join, so no vocabulary is gathered."""
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary"))
+    known = stems.select("stem", F.explode(T.pieces("stem")).alias("token")).join(counts, "token")
+    known = known.groupBy("stem").agg(F.collect_list(F.struct("token", "n")).alias("known"))
+    rows = stems.join(known, "stem", "left").crossJoin(F.broadcast(size))  # one row
+    words, n = F.coalesce(F.col("known.token"), F.array().cast("array<string>")), F.coalesce(F.col("known.n"), F.array().cast("array<long>"))
+    return rows.select("stem", F.array_join(T.segment_by("stem", words, n, "total", "vocabulary"), " ").alias("words"))
+
+
 def name_claimants(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """name and the number of entities whose content tokens hold all of the name's: 0 for a name without any.
 

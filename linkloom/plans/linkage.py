@@ -194,11 +194,9 @@ def strip_diacritics(spark, sf):
 
 @query()
 def viterbi_segment(spark, sf):
-    """Words of page hosts by the 5,000 most frequent name tokens."""
-    counts = mining.unigrams(records(spark, sf), F.col("name")).orderBy(F.desc("n"), "token").limit(5000).collect()
-    cut = T.segment_with({r["token"]: r["n"] for r in counts}, sum(r["n"] for r in counts))
-    hosts = table(spark, sf, "pages").select(T.domain_stem("url").alias("stem")).distinct()
-    return hosts.select("stem", F.array_join(cut("stem"), " ").alias("words"))
+    """Words of page hosts by all name tokens of two letters or more."""
+    counts = mining.unigrams(records(spark, sf), F.col("name")).where(F.length("token") >= 2)
+    return mining.segments(table(spark, sf, "pages").select(T.domain_stem("url").alias("stem")).distinct(), counts)
 
 
 # -- pair similarity ---------------------------------------------------------------------------------------------------
@@ -545,8 +543,8 @@ def token_mode(spark, sf):
 @query()
 def model1_em(spark, sf):
     t = records(spark, sf).where("source = 1").select(T.tokens("name").alias("t")).where(F.size("t") >= 2)
-    rows = t.select(F.slice("t", F.lit(1), F.lit(3)).alias("latin"), F.slice("t", F.lit(2), F.lit(3)).alias("native"))
-    return mining.model_one(rows, 3).select("l", "n", F.round("p", 6).alias("p"))
+    rows = t.select(F.slice("t", F.lit(1), F.size("t") - 1).alias("latin"), F.slice("t", F.lit(2), F.size("t") - 1).alias("native"))
+    return mining.model_one(rows).select("l", "n", F.round("p", 6).alias("p"))
 
 
 @query(

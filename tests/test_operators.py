@@ -1,9 +1,13 @@
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import text
 from linkloom.operators import decide, fusion, learn, metrics, mining, retrieval, validate
+from linkloom.plans import linkage
 from linkloom.sources import tables
 
 
@@ -121,3 +125,36 @@ def test_score_shards_resume(spark, tmp_path):
     for _ in range(2):
         assert tables.score_shards(pairs, str(tmp_path / "scores"), score, 4).count() == 20
     assert seen == [20, 0]
+
+
+def test_segments_by_all_unigrams(spark):
+    # more words than any bound on the vocabulary; the rarest two make the stem
+    counts = {f"w{i}": 3 for i in range(6000)} | {"zorp": 1, "quax": 1}
+    df = spark.createDataFrame(list(counts.items()), "token string, n long")
+    got = mining.segments(spark.createDataFrame([("zorpquax",), ("w17zorp",), ("",)], "stem string"), df).collect()
+    assert {r["stem"]: r["words"] for r in got} == {s: " ".join(text.segment(s, counts, sum(counts.values()))) for s in ("zorpquax", "w17zorp", "")}
+    assert {r["stem"]: r["words"] for r in got}["zorpquax"] == "zorp quax"
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_viterbi_and_model_one_take_all_tokens(spark):
+    names = [re.findall("[a-z0-9]+", r["name"].lower()) for r in linkage.records(spark, SF).select("name").collect()]
+    counts = Counter(t for ts in names for t in ts if len(t) >= 2)
+    got = {r["stem"]: r["words"] for r in linkage.QUERIES["viterbi_segment"](spark, SF).collect()}
+    assert got and all(w == " ".join(text.segment(s, counts, sum(counts.values()))) for s, w in got.items())
+    pairs = [(ts[:-1], ts[1:]) for ts in ([re.findall("[a-z0-9]+", r["name"].lower()) for r in linkage.records(spark, SF).where("source = 1").select("name").collect()]) if len(ts) >= 2]
+    p = defaultdict(lambda: 1.0)
+    for _ in range(6):
+        share, total = defaultdict(float), defaultdict(float)
+        for left, right in pairs:
+            for n in right:
+                z = sum(p[x, n] for x in set(left))
+                for x in left:
+                    share[x, n] += p[x, n] / z
+        for (x, _), v in share.items():
+            total[x] += v
+        p = defaultdict(float, {k: v / total[k[0]] for k, v in share.items()})
+    got = {(r["l"], r["n"]): r["p"] for r in linkage.QUERIES["model1_em"](spark, SF).collect()}
+    assert set(got) == set(p) and all(abs(v - p[k]) < 2e-6 for k, v in got.items())
