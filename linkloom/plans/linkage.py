@@ -159,6 +159,12 @@ def span_tags(spark, sf):
     return rows.select("event_id", T.tag_numbers(F.concat(F.lit("id "), "event_id", F.lit(" user "), F.col("user_id") + 10000)).alias("tagged"))
 
 
+@query()
+def span_tags_props(spark, sf):
+    """The numbers of every event's own text, with no bound on ids or users."""
+    return table(spark, sf, "events").select("event_id", T.tag_numbers("props").alias("tagged"))
+
+
 @query(
     f"WITH {REC}, a AS (SELECT id, string_split(name || ', ' || country || ', ' || source, ',') AS p FROM rec), b AS (SELECT id, list_filter(list_transform(p, lambda x: trim(lower(x))), lambda x: x <> '') AS p FROM a)"
     " SELECT id, CASE WHEN len(p) >= 2 THEN p[len(p) - 1] ELSE '' END AS city, CASE WHEN len(p) >= 1 THEN p[len(p)] ELSE '' END AS state FROM b"

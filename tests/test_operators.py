@@ -158,3 +158,14 @@ def test_viterbi_and_model_one_take_all_tokens(spark):
         p = defaultdict(float, {k: v / total[k[0]] for k, v in share.items()})
     got = {(r["l"], r["n"]): r["p"] for r in linkage.QUERIES["model1_em"](spark, SF).collect()}
     assert set(got) == set(p) and all(abs(v - p[k]) < 2e-6 for k, v in got.items())
+
+
+def test_span_tags_of_every_event(spark):
+    def tag(s):
+        s = re.sub("(?<![0-9])([0-9]{5,6})(?![0-9])", r"[ZIP] \1 [/ZIP]", s or "")
+        return re.sub(r"^((?:(?!\[ZIP\])[^0-9])*)([0-9]+[A-Za-z]?)(?![0-9])", r"\1[NUM] \2 [/NUM]", s)
+
+    sf = "/root/testdata/sf0.1"
+    want = {r["event_id"]: tag(r["props"]) for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "props").collect()}
+    got = linkage.QUERIES["span_tags_props"](spark, sf).collect()
+    assert len(got) == len(want) == 100_000 and {r["event_id"]: r["tagged"] for r in got} == want and any("[" in t for t in want.values())
