@@ -198,6 +198,12 @@ def strip_diacritics(spark, sf):
     return rows.select("id", F.trim(F.regexp_replace(T.strip_marks("name"), r"\s+", " ")).alias("plain"))
 
 
+@query()
+def strip_diacritics_all(spark, sf):
+    """strip_diacritics of every name, in any script."""
+    return records(spark, sf).select("id", F.trim(F.regexp_replace(T.strip_marks("name"), r"\s+", " ")).alias("plain"))
+
+
 @query()
 def viterbi_segment(spark, sf):
     """Words of page hosts by all name tokens of two letters or more."""
@@ -248,6 +254,12 @@ def jaro_winkler(spark, sf):
     return rows.select("s1_id", "c_id", F.round(S.jaro_winkler("s1_name", "c_name"), 6).alias("jw"))
 
 
+@query()
+def jaro_winkler_all(spark, sf):
+    """jaro_winkler of every pair, in any script."""
+    return pairs(spark, sf).select("s1_id", "c_id", F.round(S.jaro_winkler("s1_name", "c_name"), 6).alias("jw"))
+
+
 @query()
 def string_ratios(spark, sf):
     return pairs(spark, sf).select("s1_id", "c_id", *[F.round(f("s1_name", "c_name"), 4).alias(k) for k, f in {"ratio": S.ratio, "token_sort": S.token_sort_ratio, "partial": S.partial_ratio}.items()])

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -169,3 +170,32 @@ def test_span_tags_of_every_event(spark):
     want = {r["event_id"]: tag(r["props"]) for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "props").collect()}
     got = linkage.QUERIES["span_tags_props"](spark, sf).collect()
     assert len(got) == len(want) == 100_000 and {r["event_id"]: r["tagged"] for r in got} == want and any("[" in t for t in want.values())
+
+
+def test_names_of_any_script(spark, tmp_path):
+    texts = ["Việt Nam cà phê một hai", "Việt Nam cà phê một ba", "Nam Việt phê cà bốn", "Ωμέγα ήλιος x² ½ ŵ", "Ωμέγα ήλιος x² ŵ", "ήλιος Ωμέγα ½"]
+    spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {r["id"]: r["name"] for r in linkage.records(spark, str(tmp_path)).collect()}
+    plain = lambda s: " ".join("".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).split())
+    got = {r["id"]: r["plain"] for r in linkage.QUERIES["strip_diacritics_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(s) for i, s in names.items()}
+
+    def jaro_winkler(a, b):
+        # a letter of a takes the first free equal letter of b within reach
+        reach, free, mine = max(len(a), len(b)) // 2 - 1, list(range(len(b))), []
+        for i, c in enumerate(a):
+            j = next((j for j in free if abs(i - j) <= reach and b[j] == c), None)
+            if j is not None:
+                free.remove(j)
+                mine.append((i, j))
+        if not mine:
+            return 0.0
+        m, t = len(mine), sum(a[i] != b[j] for (i, _), j in zip(mine, sorted(j for _, j in mine))) // 2
+        jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
+        same = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 4)
+        return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+    pairs = {(r["s1_id"], r["c_id"]) for r in linkage.pairs(spark, str(tmp_path)).collect()}
+    got = {(r["s1_id"], r["c_id"]): r["jw"] for r in linkage.QUERIES["jaro_winkler_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == pairs and any(not names[a].isascii() for a, _ in pairs)
+    assert all(abs(v - jaro_winkler(names[a], names[b])) < 2e-6 for (a, b), v in got.items())
