@@ -1,26 +1,33 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-The labelled examples are a bounded sample (LEARN_ROWS rows by a hash of the id; a documented bound). Terms are words
-and their first letters; those that labelled toxic texts hold far more often than others make the vocabulary, so
-an example, and a text, is its few telling terms, weighted by term frequency and inverse document frequency over the examples. The index keeps
-each term's postings in blocks of example numbers with the block's largest weight; a query's blocks are taken by falling upper
-bound until none can reach the NEIGHBOURS-th best cosine, which leaves the exact nearest. Votes weighted by cosine, with a prior,
-give a raw share; a logistic curve fitted on the examples themselves, each scored without itself, calibrates it. Texts
-without any telling term get the share of toxic ones among such examples.
-
-The index goes to the workers: at most LEARN_ROWS * TERMS_EACH postings, whatever the corpus.
-
-Defined results: null and empty texts are scored as texts without telling terms; without usable labels every score
-is the share of toxic labels (0 if there are none); contradicting labels of an id are left out; repeated rows are scored
-one by one; texts are read whole.
+The labelled examples are a bounded sample of documents (LEARN_ROWS by a hash of id and text; a documented bound); all their words are
+terms, weighted by 1 + ln(count) and by idf over the examples, each example a unit vector. A text is searched in passages: its
+distinct words in the order in which they come first, PASSAGE at a time to its end, each with its count in the whole text. A few
+words decide, and in one vector of a long text they would drown. The index keeps each term's postings in blocks of BLOCK
+example numbers with the block's largest weight; examples of one language stand together, those of few words and so of large weights first. A
+passage's blocks of highest bound are added up first; of the others only those whose bound reaches the NEIGHBOURS-th best
+cosine found so far, so the nearest are exact. Many passages are searched at once with numpy.
+Votes weighted by cosine give a passage's share of toxic neighbours, the mean of a text's two highest shares is the text's, and a
+logistic curve fitted on the examples themselves, each searched without itself and its copies, calibrates it. Evidence: the
+nearest examples of the passage of highest share. Texts without any word of the examples get the share of toxic examples.
+
+Broadcast: the examples' postings, at most LEARN_ROWS vectors, whatever the corpus.
+
+Defined results: null, empty and word-less texts get the share of toxic examples and no evidence; without usable labels (or with
+an empty table of labels) every score is 0.0; an empty table of documents gives no rows; contradicting labels of an id
+are left out; an id with two texts is two examples, a repeated row one; repeated rows are scored one by one and alike; equal cosines are
+settled by example number; texts are read whole; columns of the documents other than doc_id and
+text aren't read, and `stage` hands them on as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,102 +36,185 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import table, written
 
-LEARN_ROWS = 12_000
-#: Terms of the vocabulary, and of an example or a text (those of most weight), at most.
-TERMS, TERMS_EACH = 4096, 256
-#: A telling term: least count among toxic examples, least share of toxic ones among its examples.
-TERM_COUNT, TERM_SHARE = 4, 0.6
+#: Examples, at most: the bound of the sample that is learned from.
+LEARN_ROWS = 3_000
+PASSAGE = 8
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks of a passage that are added up before the others are compared with their bounds.
+FIRST = 4
+#: Weight of the prior among the votes, as of a cosine.
+PRIOR = 0.1
+#: Passages that are searched at once.
+BATCH = 512
 FOLDS = 5
-CACHE = 300_000
+#: Texts whose result a worker remembers, for copies.
+CACHE = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its first 4 and 5 letters if it is longer."""
-    return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class Index:
-    """Examples' vectors as blocked postings."""
-
-    def __init__(self, idf: dict[str, float], vectors: list[dict[str, float]], toxic: list[int], ids: list[int]):
-        # examples with the same telling terms stand together, so that blocks are alike within and differ among each other
-        order = sorted(range(len(vectors)), key=lambda k: (sorted(vectors[k], key=lambda t: (-vectors[k][t], t)), ids[k]))
-        self.idf, self.toxic, self.ids = idf, np.array([toxic[k] for k in order], float), np.array([ids[k] for k in order], np.int64)
-        posts: dict[str, list[tuple[int, float]]] = {}
-        for n, k in enumerate(order):
-            for t, w in vectors[k].items():
-                posts.setdefault(t, []).append((n, w))
-        self.posts = {}
-        for t, rows in posts.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.posts[t] = (at, w, blocks, np.maximum.reduceat(w, first), np.r_[first, len(at)])
-        self.blocks = -(-len(order) // BLOCK)
-        self.prior, self.none, self.curve = 0.0, 0.0, (1.0, 0.0)
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        """The unit vector of the counted terms, for the vocabulary's terms of most weight."""
-        w = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        if len(w) > TERMS_EACH:
-            w = dict(sorted(w.items(), key=lambda x: (-x[1], x[0]))[:TERMS_EACH])
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
-
-    def nearest(self, q: dict[str, float], k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with any term of q, best first; ties by number."""
-        q = {t: x for t, x in q.items() if t in self.posts}
-        bound = np.zeros(self.blocks)
-        for t, x in q.items():
-            _, _, blocks, most, _ = self.posts[t]
-            bound[blocks] += x * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        got, cos, at, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while at < len(order):
-            if len(cos) >= k and bound[order[at]] < cos[k - 1] - 1e-12:
-                break
-            some = np.sort(order[at : at + step])
-            at, step = at + step, step * 2
-            dense = np.zeros(len(some) * BLOCK)
-            for t, x in q.items():
-                rows, w, blocks, _, first = self.posts[t]
-                mine = np.searchsorted(blocks, some)
-                mine[mine == len(blocks)] = 0
-                for n in np.flatnonzero(blocks[mine] == some):
-                    a, b = first[mine[n]], first[mine[n] + 1]
-                    dense[n * BLOCK + rows[a:b] - some[n] * BLOCK] += x * w[a:b]
-            hit = np.flatnonzero(dense > 0)
-            number = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            got, cos = np.r_[got, number[number != but]], np.r_[cos, dense[hit][number != but]]
-            best = np.lexsort((got, -cos))[:k]
-            got, cos = got[best], cos[best]
-        return got, cos
-
-    def raw(self, q: dict[str, float], but: int = -1) -> tuple[float, np.ndarray]:
-        got, cos = self.nearest(q, but=but)
-        return float((cos @ self.toxic[got] + self.prior) / (cos.sum() + 1)), self.ids[got]
-
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        q = self.vector(counts)
-        if not q:
-            return self.none, []
-        p, ids = self.raw(q)
+    """Examples' unit vectors as blocked postings. examples: (id, toxic, digest of the text, words with their counts)."""
+
+    def __init__(self, examples: Iterable[tuple[int, int, bytes, list[str], list[int]]]):
+        examples = list(examples)
+        df = Counter(w for e in examples for w in e[3])
+        # by the most widespread word, which tells languages apart, then short ones first
+        order = sorted(examples, key=lambda e: (max(e[3], key=lambda w: (df[w], w), default=""), len(e[3]), e[0], e[2]))
+        n = len(order)
+        self.ids, self.toxic = np.array([e[0] for e in order], np.int64), np.array([e[1] for e in order], float)
+        digests = {d: k for k, d in enumerate(sorted({e[2] for e in order}))}
+        self.copy_of, self.copies = np.array([digests[e[2]] for e in order], np.int64), digests
+        self.term = {w: k for k, w in enumerate(sorted(df))}
+        self.idf = np.array([math.log((1 + n) / (1 + df[w])) + 1 for w in self.term])
+        sizes = np.array([len(e[3]) for e in order], np.int64)
+        number = np.repeat(np.arange(n), sizes)
+        term = np.fromiter((self.term[w] for e in order for w in e[3]), np.int64, sizes.sum())
+        weight = (1 + np.log(np.fromiter((c for e in order for c in e[4]), float, sizes.sum()))) * self.idf[term]
+        weight /= np.sqrt(np.bincount(number, weight * weight, n))[number]
+        by = np.lexsort((number, term))
+        self.number, self.weight = number[by].astype(np.int32), weight[by]
+        term = term[by]
+        # a run: the postings of a term in a block
+        block = self.number // BLOCK
+        at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, np.int64)
+        self.run_at, self.run_block = np.r_[at, len(term)], block[at].astype(np.int64)
+        self.run_most = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
+        self.term_at = np.searchsorted(term[at], np.arange(len(self.term) + 1))
+        self.blocks = max(1, -(-n // BLOCK))
+        self.slot = self.number % BLOCK
+        self.copy_in = np.r_[self.copy_of, np.full(self.blocks * BLOCK - n, -2)].reshape(-1, BLOCK)
+        self.prior = float((self.toxic.sum() + 0.5) / (n + 1)) if n else 0.0
+        self.curve = (1.0, 0.0)
+
+    def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, term, weight) of a text's known words; the weights of a passage form a unit vector. Unknown words take their places, too."""
+        counts = Counter(words)
+        known = [(k // PASSAGE, t, c) for k, (w, c) in enumerate(counts.items()) if (t := self.term.get(w)) is not None]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        who, term, count = np.array(known).T
+        x = (1 + np.log(count)) * self.idf[term]
+        return who, term, x / np.sqrt(np.bincount(who, x * x))[who]
+
+    def nearest(self, who: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, number, cosine) of the k nearest examples with any common term for each of n queries, best first; ties by number.
+
+        but: for each query the text (an entry of copy_of) whose copies don't count, or -1.
+        """
+        size = self.term_at[term + 1] - self.term_at[term]
+        run = _ranges(self.term_at[term], size)
+        q, x, block = np.repeat(who, size), np.repeat(x, size), self.run_block[run]
+        bound = np.bincount(q * self.blocks + block, x * self.run_most[run], n * self.blocks).reshape(n, self.blocks)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        first &= bound > 0
+
+        def cosines(take: np.ndarray, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(query, number, cosine) of the examples in the blocks to take that reach least, by default the k-th best of the query's; and that."""
+            pair_q, pair_block = np.nonzero(take)
+            place = np.zeros(take.shape, np.int64)
+            place[pair_q, pair_block] = np.arange(len(pair_q)) * BLOCK
+            mine = take[q, block]
+            r = run[mine]
+            length = self.run_at[r + 1] - self.run_at[r]
+            post = _ranges(self.run_at[r], length)
+            key = np.repeat(place[q[mine], block[mine]], length) + self.slot[post]
+            dense = np.bincount(key, np.repeat(x[mine], length) * self.weight[post], len(pair_q) * BLOCK).reshape(-1, BLOCK)
+            if but is not None:
+                dense[self.copy_in[pair_block] == but[pair_q][:, None]] = 0
+            if least is None:
+                wide = np.zeros((n, FIRST * BLOCK))
+                nth = np.arange(len(pair_q)) - np.searchsorted(pair_q, pair_q)
+                wide.reshape(n, FIRST, BLOCK)[pair_q, nth] = dense
+                least = np.partition(wide, -k, axis=1)[:, -k]
+            pair, at = np.nonzero((dense >= least[pair_q][:, None]) & (dense > 0))
+            return pair_q[pair], pair_block[pair] * BLOCK + at, dense[pair, at], least
+
+        who, number, cos, least = cosines(first, None)
+        rest = ~first & (bound > 0) & (bound >= least[:, None] - 1e-12)
+        if rest.any():
+            more = cosines(rest, least)
+            who, number, cos = (np.r_[a, b] for a, b in zip((who, number, cos), more))
+        by = np.lexsort((number, -cos, who))
+        who, number, cos = who[by], number[by], cos[by]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        return tuple(a[rank < k] for a in (who, number, cos))
+
+    def shares(self, texts: list[tuple[list[str], int]]) -> list[tuple[float, list[int]] | None]:
+        """(share of toxic votes, evidence) of each text (words, the text whose copies don't count or -1); None without a known word."""
+        out: list[tuple[float, list[int]] | None] = []
+        parts, size, held = [], 0, []
+
+        def search():
+            of = np.repeat(np.arange(len(parts)), [p[0].max() + 1 if len(p[0]) else 0 for p in parts])
+            start = np.searchsorted(of, np.arange(len(parts)))
+            who = np.concatenate([p[0] + s for p, s in zip(parts, start)])
+            n = len(of)
+            top: list[list[tuple[float, list[int]]]] = [[] for _ in parts]
+            term, x = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
+            but = np.repeat(np.array(held, np.int64), np.bincount(of, minlength=len(parts)))
+            for a in range(0, n, BATCH):
+                b = min(n, a + BATCH)
+                lo, hi = np.searchsorted(who, [a, b])
+                q, number, cos = self.nearest(who[lo:hi] - a, term[lo:hi], x[lo:hi], b - a, but=but[a:b] if (but >= 0).any() else None)
+                whole = np.bincount(q, cos, b - a)
+                share = (np.bincount(q, cos * self.toxic[number], b - a) + PRIOR * self.prior) / (whole + PRIOR)
+                at = np.searchsorted(q, np.arange(b - a + 1))
+                for k in np.unique(of[a:b]):
+                    own = np.flatnonzero((of[a:b] == k) & (whole > 0))
+                    own = own[np.argsort(-share[own], kind="stable")[:2]]
+                    top[k] += [(float(share[j]), self.ids[number[at[j] : at[j + 1]][:5]].tolist()) for j in own]
+            for t in top:
+                t = sorted(t, key=lambda e: -e[0])[:2]
+                out.append((sum(s for s, _ in t) / len(t), t[0][1]) if t else None)
+
+        for words, but in texts:
+            parts.append(self.passages(words))
+            held.append(but)
+            size += len(words)
+            if size >= BATCH * PASSAGE:
+                search()
+                parts, size, held = [], 0, []
+        if parts:
+            search()
+        return out
+
+    def calibrated(self, p: float) -> float:
         a, b = self.curve
         z = a * math.log(p / (1 - p)) + b if 0 < p < 1 else math.inf * (p - 0.5)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), ids[:5].tolist()
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+    def score(self, texts: list[str | None], known: dict[bytes, tuple[float, list[int]]]) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each text; known: results of texts by digest, which copies get."""
+        keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts) if k not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = dict(zip(keys, texts))
+        for k, found in zip(new, self.shares([(words_of(t), -1) for t in new.values()])):
+            known[k] = (self.prior if len(self.ids) else 0.0, []) if found is None else (self.calibrated(found[0]), found[1])
+        return [known[k] for k in keys]
 
 
 def fit_curve(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's logistic curve on log odds, a slope of at least 0, by damped Newton steps; the targets are smoothed."""
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
-    x = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1))
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    x = np.log(p / (1 - p))
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         s = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
         v = s * (1 - s) + 1e-9
         g = np.array([((s - t) * x).sum() + 1e-2 * (a - 1), (s - t).sum()])
@@ -141,57 +231,40 @@ def _held_out(doc_id) -> bool:
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the labelled rows that are learned from."""
+    """doc_id, text, toxic and digest of the labelled rows that are learned from, at most LEARN_ROWS whatever repeats."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != 0)
-    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
+    known = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # LEARN_ROWS ids
+    rows = rows.withColumn("digest", F.unhex(F.md5("text")))
+    chosen = rows.select("doc_id", "digest").distinct().orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").limit(LEARN_ROWS)
+    return rows.join(F.broadcast(chosen), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Index:
-    sample = written(examples(docs, labels), "examples")
+    sample = written(examples(docs, labels), "examples").select("doc_id", "text", "toxic", "digest")
 
-    def seen(batches):
+    def counted(batches):
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = sorted({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], ["term", "y"])
-
-    sample = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    all_rows, bad_rows = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    by_term = sample.mapInArrow(seen, "term string, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    chosen = by_term.where((F.col("bad") >= TERM_COUNT) & (F.col("bad") >= TERM_SHARE * F.col("n"))).orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), "term").limit(TERMS).collect()
-    idf = {r["term"]: math.log((1 + all_rows) / (1 + r["n"])) + 1 for r in chosen}
-
-    def telling(batches):
-        index = Index(idf, [], [], [])
-        for batch in batches:
-            rows = [index.vector(count_terms((t or ""), idf, {})) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v) for v in rows], pa.list_(pa.string())), pa.array([list(v.values()) for v in rows], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
-
-    got = sample.mapInArrow(telling, "doc_id long, toxic int, terms array<string>, weights array<double>").collect()  # at most LEARN_ROWS vectors
-    full = sorted((r for r in got if r["terms"]), key=lambda r: (r["doc_id"], r["terms"]))
-    none = [r["toxic"] for r in got if not r["terms"]]
-    index = Index(idf, [dict(zip(r["terms"], r["weights"])) for r in full], [r["toxic"] for r in full], [r["doc_id"] for r in full])
-    index.prior = (bad_rows + 0.5) / (all_rows + 1) if all_rows else 0.0
-    index.none = (sum(none) + index.prior) / (len(none) + 1)
-    where = {k: n for n, k in enumerate(index.ids.tolist())}
-    loo = [index.raw(dict(zip(r["terms"], r["weights"])), where[r["doc_id"]])[0] for r in full]
-    index.curve = fit_curve(np.array(loo), np.array([r["toxic"] for r in full], float))
-    return index
+            own = [Counter(words_of(t)) for t in batch.column(1).to_pylist()]
+            words = [sorted(c) for c in own]
+            counts = [[c[w] for w in ws] for c, ws in zip(own, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "toxic", "digest", "words", "counts"])
 
+    got = sample.mapInArrow(counted, "doc_id long, toxic int, digest binary, words array<string>, counts array<long>").collect()  # at most LEARN_ROWS vectors
+    index = Index((r["doc_id"], r["toxic"], bytes(r["digest"]), r["words"], r["counts"]) for r in got)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def alone(batches):
+        index = shared.value
+        for batch in batches:
+            texts = [(words_of(t), index.copies[d]) for t, d in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            found = index.shares(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] if f else None for f in found], pa.float64()), pa.array(batch.column(2).to_pylist(), pa.int32())], ["p", "y"])
 
-def count_terms(text: str, idf: dict[str, float], known: dict[str, tuple]) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items():
-        own = known.get(w)
-        if own is None:
-            if len(known) >= CACHE:
-                known.clear()
-            own = known[w] = tuple(t for t in terms_of(w) if t in idf)
-        for t in own:
-            out[t] += n
-    return out
+    got = sorted((r["p"], r["y"]) for r in sample.mapInArrow(alone, "p double, y int").where("p IS NOT NULL").collect())  # at most LEARN_ROWS rows
+    index.curve = fit_curve(np.array([p for p, _ in got]), np.array([y for _, y in got], float))
+    return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -199,17 +272,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index, words, done = shared.value, {}, {}
+        known: dict = {}
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                counts = count_terms(text or "", index.idf, words)
-                key = tuple(sorted(counts.items()))
-                if key not in done:
-                    if len(done) >= CACHE // 10:
-                        done.clear()
-                    done[key] = index.score(counts)
-                out.append(done[key])
+            out = shared.value.score(batch.column(1).to_pylist(), known)
             p = np.array([x[0] for x in out], float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64()))],
@@ -230,9 +295,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
 
     def keep(batches):
-        words: dict = {}
+        known: dict = {}
         for batch in batches:
-            own = [index.value.score(count_terms(t or "", index.value.idf, words))[0] < 0.5 for t in batch.column(at).to_pylist()]
+            own = [s < 0.5 for s, _ in index.value.score(batch.column(at).to_pylist(), known)]
             yield batch.filter(pa.array(own, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(keep, docs.schema)

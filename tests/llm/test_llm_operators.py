@@ -179,24 +179,71 @@ def test_vectors_in_a_dense_region_against_brute_force(spark):
     assert link.sum() > 700 and got["n_links"].sum() >= 0.99 * link.sum() and (got["n_links"].to_numpy() <= link.sum(1)).all()
 
 
-@given(st.lists(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 3), min_size=1, max_size=4), min_size=1, max_size=150), st.dictionaries(st.sampled_from("abcdefghz"), st.integers(1, 3), max_size=4))
+def toxic_index(texts, toxic):
+    counts = [Counter(toxicity.words_of(t)) for t in texts]
+    return toxicity.Index((i, y, t.encode(), sorted(c), [c[w] for w in sorted(c)]) for i, (t, y, c) in enumerate(zip(texts, toxic, counts)))
+
+
+def tfidf_brute(texts):
+    """Unit vectors of the texts over all of their words, and idf."""
+    counts = [Counter(toxicity.words_of(t)) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: np.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+    rows = [{w: (1 + np.log(n)) * idf[w] for w, n in c.items()} for c in counts]
+    return [{w: x / np.sqrt(sum(v * v for v in r.values())) for w, x in r.items()} for r in rows], idf
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=12).map(" ".join), min_size=1, max_size=300), st.lists(st.lists(st.sampled_from("abcdefghz"), min_size=1, max_size=8), min_size=1, max_size=4), st.integers(1, 30))
 @settings(max_examples=60, deadline=None)
-def test_block_max_search_is_exact(rows, query):
-    idf = {t: 1 + k / 7 for k, t in enumerate("abcdefgh")}
-    plain = toxicity.Index(idf, [], [], [])
-    index = toxicity.Index(idf, [plain.vector(Counter(r)) for r in rows], [0] * len(rows), list(range(len(rows))))
-    q = index.vector(Counter(query))
-    got, cos = index.nearest(q, 5)
-    want = sorted((sum(q.get(t, 0) * w for t, w in plain.vector(Counter(r)).items()) for r in rows), reverse=True)
-    want = [c for c in want if c > 1e-12][:5]
-    assert np.allclose(cos, want) and len(set(got.tolist())) == len(got)
+def test_block_max_search_is_exact(texts, queries, k):
+    index, (vectors_, _) = toxic_index(texts, [0] * len(texts)), tfidf_brute(texts)
+    for words_ in queries:
+        who, term, x = index.passages(words_)
+        if not len(who):
+            continue
+        unit = {w: x[list(term).index(index.term[w])] for w in set(words_) if w in index.term}
+        q, number, cos = index.nearest(who, term, x, 1, k)
+        want = sorted((c for c in (sum(unit.get(w, 0) * v for w, v in r.items()) for r in vectors_) if c > 1e-12), reverse=True)[:k]
+        assert np.allclose(cos, want) and len(set(number.tolist())) == len(number)
+        assert np.allclose(cos, [sum(unit.get(w, 0) * v for w, v in vectors_[i].items()) for i in index.ids[number]])
+
+
+def test_toxic_neighbours_of_real_documents_against_brute_force(docs):
+    texts = [t for t in docs.values() if t and toxicity.words_of(t)]
+    index, (vectors_, idf) = toxic_index(texts[:150], [k % 3 == 0 for k in range(150)]), tfidf_brute(texts[:150])
+    place = {i: k for k, i in enumerate(index.ids.tolist())}
+    for n, text in enumerate(texts[100:]):
+        # the text's own copies don't count where it is an example
+        but = index.copies[text.encode()] if n < 50 else -1
+        counts, best = Counter(toxicity.words_of(text)), []
+        own = list(counts)
+        for a in range(0, len(own), toxicity.PASSAGE):
+            q = {w: (1 + np.log(counts[w])) * idf[w] for w in own[a : a + toxicity.PASSAGE] if w in idf}
+            norm = np.sqrt(sum(v * v for v in q.values()))
+            near = [(sum(x / norm * r.get(w, 0) for w, x in q.items()), i) for i, r in enumerate(vectors_) if but < 0 or texts[i] != text] if q else []
+            near = sorted(((c, i) for c, i in near if c > 1e-12), key=lambda e: (-round(e[0], 12), place[e[1]]))[: toxicity.NEIGHBOURS]
+            if near:
+                best.append((sum(c for c, i in near if i % 3 == 0) + toxicity.PRIOR * index.prior) / (sum(c for c, _ in near) + toxicity.PRIOR))
+        got = index.shares([(toxicity.words_of(text), but)])[0]
+        best = sorted(best, reverse=True)[:2]
+        assert got[0] == pytest.approx(sum(best) / len(best))
+
+
+def test_toxicity_bounds_its_sample_after_the_join(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARN_ROWS", 5)
+    rows = [(1, f"text number {k}") for k in range(40)] + [(k, "another") for k in range(2, 9)] * 3
+    got = toxicity.examples(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")).collect()
+    assert 0 < len(got) <= 5 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
 
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in toxicity.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    rows = toxicity.op6_toxicity(spark, sf).collect()
+    got = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
     assert sum(p == y for _, p, y in got) / len(got) > 0.93 and all(0 <= s <= 1 for s, _, _ in got)
+    # every text that shares a word with the examples has evidence
+    assert sum(bool(r["evidence"]) for r in rows) > 0.9 * len(rows)
 
 
 def brute_components(docs, width):
