@@ -1,24 +1,34 @@
-"""Byte-level BPE as a streaming transducer, and its inverse as a byte-to-text state machine.
+"""Byte-level BPE as a bounded-lookahead streaming transducer, and its inverse as a byte-to-text state machine.
 
-Merges never cross the borders that the pre-tokenizer sets, so these borders are emission points. Within a
-pre-token, `Transducer` reads bytes and knows, for every prefix, the last token of that prefix's encoding; this
-holds the whole encoding, as an encoding without its last token is the encoding of the shorter prefix. No token is
-longer than `lookahead + 1` bytes, so the borders of any longer prefix pass through one of the last `lookahead + 1`
-positions: tokens that all of these share will never change and are emitted. Memory is that window alone. Short
-pre-tokens end before the window is full; many of them are merged at once by rank with numpy, the transducer's
-result at end of input (`merge_many`), and remembered.
+Lookahead. Take two texts with the same first m bytes and apply the merges rank by rank to both. Call front the last
+border up to which both have the same tokens: at first it is m. Only a merge (y, x) across the front moves it, back by the bytes of
+y, and the next one that does so has a higher rank, ends in y', the token left of the new front, and its right part x' has y
+on its left edge, where y has not been merged at a lower rank. `lookahead` takes the most bytes that any such chain of merges moves the
+front, by one pass over the merges in their order: so tokens that end `lookahead` bytes before the end of what has been read are
+the tokens of every text that starts so, whatever follows. They are emitted; as no merge ever crosses their end, what
+follows is encoded as if it stood alone, so the transducer's state is its window: the lookahead, the longest token and STEP bytes at most.
+
+`Transducer` takes a text in pieces of characters. It cuts pre-tokens where no character to come can change the cut, and feeds their
+bytes to the window; a pre-token that doesn't end within a piece stays open and is fed on. `settle` is the one step that
+encodes: many windows at once, each a whole short pre-token or a part of a long one. Texts whose pre-tokens are short are cut at
+spaces, which always start a pre-token, and what a worker has encoded between spaces is remembered up to CACHE_BYTES.
+
+Decoding maps ids to bytes and bytes to text as they come; a character's bytes may come in different runs.
 
 Defined results: a null text counts as empty: no tokens, both digests those of no bytes; strings of special tokens in
-a text become their ids, as the tokenizer does. Texts are read window by window, so a very long text needs no more
-memory than its own row and the window.
+a text become their ids, as the tokenizer does; lone surrogates can't come, as Spark's strings are UTF-8; repeated rows are
+encoded one by one; an empty table gives no rows; columns other than doc_id and text aren't read, whatever their names. A text of
+any length, with or without spaces, needs no more memory than its own row and the window.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,17 +39,21 @@ from linkloom.llm.common import table
 from linkloom.llm.packing import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Characters read at a time, at least.
+#: Characters of a text read at a time.
 WINDOW = 1 << 16
-#: Longest pre-token, in bytes, that is merged in one go and remembered.
-SHORT = 128
-CACHE = 800_000
-#: Characters of texts whose new words are merged together.
+#: Bytes that a window takes beyond the lookahead before its stable tokens are emitted.
+STEP = 1 << 10
+#: Characters between two spaces that are remembered with their ids, and memory for that.
+SHORT, CACHE_BYTES = 128, 96 << 20
+#: Characters of texts whose new words are encoded together.
 AHEAD = 1 << 20
+#: Characters beyond a pre-token's end that the pattern may look at.
+SEEN = 3
 NONE = np.int64(1 << 40)
 
-#: The pre-tokenizer's pattern, and how it sees white space.
+#: The pre-tokenizer's pattern, its runs, and how it sees white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+RUNS = [r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s"]
 BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 CUT = re.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")
@@ -52,6 +66,32 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
+    """Bytes before the end of a text's read part beyond which its tokens can't change, by the chains of merges described above."""
+    rule: dict[bytes, tuple[int, bytes]] = {}
+    ended: dict[bytes, tuple[list[int], list[int]]] = {}  # by left part: ranks, and the farthest move of the chains up to each
+    most = 0
+    for rank, (left, right) in enumerate(merges):
+        far, edge, limit, inner = 0, right, rank, False
+        while True:
+            ranks, moves = ended.get(edge, ((), ()))
+            n = bisect_right(ranks, limit) if inner else bisect_left(ranks, limit)
+            if n:
+                far = max(far, moves[n - 1])
+            if edge not in rule:
+                break
+            (limit, edge), inner = rule[edge], True
+        far += len(left)
+        ranks, moves = ended.setdefault(left, ([], []))
+        ranks.append(rank)
+        moves.append(max(far, moves[-1] if moves else 0))
+        if left + right in rule:
+            raise ValueError("two merges make one token: their chains aren't bounded here")
+        rule[left + right] = (rank, left)
+        most = max(most, far)
+    return most
+
+
 class Bpe:
     def __init__(self, path: str):
         import regex
@@ -62,8 +102,8 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
+        id_of = {b: i for i, b in self.bytes_of.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
         keys = np.array([a << 20 | b for a, b in self.rank], np.int64)
@@ -71,38 +111,45 @@ class Bpe:
         self.keys = keys[order]
         self.ranks = np.array([r for r, _ in self.rank.values()], np.int64)[order]
         self.made = np.array([i for _, i in self.rank.values()], np.int64)
-        self.first = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
-        #: Bytes that may still change the token before them: none is longer than the longest token.
-        self.lookahead = max(map(len, self.id_of)) - 1
-        self.lengths = sorted({len(b) for b in self.id_of}, reverse=True)
+        self.first = np.array([id_of[bytes([b])] for b in range(256)], np.int64)
+        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        self.lookahead = sufficient_lookahead([(self.bytes_of[vocab[a]], self.bytes_of[vocab[b]]) for a, b in merges])
+        self.longest = int(self.size.max())
         self.pattern = regex.compile(PATTERN)
+        self.runs = [(regex.compile(r), regex.compile(r"\s+(?!\S)" if r == r"\s" else r"(?:" + r + ")+")) for r in RUNS]
         self.chunks: dict[str, bytes] = {}
-        self.tokens: dict[bytes, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.held = 0
 
     # -- merging ---------------------------------------------------------------------------------------------------
 
-    def merge_one(self, word: bytes) -> list[int]:
-        """The encoding by its definition: the merge of lowest rank, leftmost first, again and again."""
-        out = [int(self.first[b]) for b in word]
-        while len(out) > 1:
-            best = min((self.rank.get(p, (NONE, 0)) for p in zip(out, out[1:])))
-            if best[0] == NONE:
-                break
-            new, k = [], 0
-            while k < len(out):
-                if k + 1 < len(out) and self.rank.get((out[k], out[k + 1]), (NONE, 0)) == best:
-                    new.append(best[1])
-                    k += 2
-                else:
-                    new.append(out[k])
-                    k += 1
-            out = new
-        return out
-
-    def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """merge_one for many words at once, each as little-endian 32-bit ids; every round merges each word's best pair."""
-        out: list[bytes] = [b""] * len(words)
+    def merge_one(self, word: bytes) -> np.ndarray:
+        """The encoding of one window: the merge of lowest rank, leftmost first, again and again, by a heap of pairs."""
+        ids = self.first[np.frombuffer(word, np.uint8)].tolist()
+        n, rank = len(ids), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank.get((ids[k], ids[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            j = after[k]
+            if ids[k] != a or j >= n or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[k], ids[j] = rank[a, b][1], -1
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := rank.get((ids[k], ids[j]))) is not None:
+                    heapq.heappush(heap, (r[0], k, ids[k], ids[j]))
+            i = before[k]
+            if i >= 0 and (r := rank.get((ids[i], ids[k]))) is not None:
+                heapq.heappush(heap, (r[0], i, ids[i], ids[k]))
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """merge_one for many short windows at once; every round merges each one's best pair."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
         sizes = np.array([len(w) for w in words])
         number = np.flatnonzero(sizes > 0)
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
@@ -120,9 +167,8 @@ class Bpe:
             best = np.minimum.reduceat(rank, starts)
             done = best == NONE
             if done.any():
-                ids = sym.astype("<u4")
                 for k in np.flatnonzero(done):
-                    out[number[k]] = ids[starts[k] : starts[k] + sizes[k]].tobytes()
+                    out[number[k]] = sym[starts[k] : starts[k] + sizes[k]]
                 keep = ~done[seg]
                 sym, rank, seg = sym[keep], rank[keep], seg[keep]
                 number, sizes, best_left = number[~done], sizes[~done], best[~done]
@@ -143,25 +189,25 @@ class Bpe:
             sym = sym[keep]
         return out
 
-    def fit(self, a: int, b: int) -> bool:
-        """Whether a then b is the encoding of its own bytes; a < 0: b alone."""
-        if (a, b) not in self.fits:
-            if len(self.fits) > 4 * CACHE:
-                self.fits.clear()
-            self.fits[a, b] = self.merge_one((b"" if a < 0 else self.bytes_of[a]) + self.bytes_of[b]) == ([b] if a < 0 else [a, b])
-        return self.fits[a, b]
+    def settle(self, windows: list[bytes], whole: bool) -> list[tuple[bytes, int]]:
+        """For each window of a pre-token's bytes its stable tokens, as little-endian 32-bit ids, and the bytes they cover.
+
+        whole: the pre-tokens end with their windows, so that all tokens are stable; else those that end `lookahead` before.
+        """
+        out: list = [None] * len(windows)
+        short = [k for k, w in enumerate(windows) if len(w) <= SHORT]
+        for a in range(0, len(short), 8192):
+            for k, ids in zip(short[a : a + 8192], self.merge_many([windows[k] for k in short[a : a + 8192]])):
+                out[k] = ids
+        for k, w in enumerate(windows):
+            ids = self.merge_one(w) if out[k] is None else out[k]
+            if not whole:
+                ids = ids[: np.searchsorted(np.cumsum(self.size[ids]), len(w) - self.lookahead, "right")]
+            out[k] = (ids.astype("<u4").tobytes(), int(self.size[ids].sum()))
+        return out
 
     # -- encoding --------------------------------------------------------------------------------------------------
 
-    def words(self, new: list[bytes]) -> None:
-        short = [w for w in new if len(w) <= SHORT]
-        for k in range(0, len(short), 8192):
-            self.tokens.update(zip(short[k : k + 8192], self.merge_many(short[k : k + 8192])))
-
-    def long_word(self, word: bytes) -> bytes:
-        t = Transducer(self)
-        return b"".join([*(t.feed(word[k : k + 4096]) for k in range(0, len(word), 4096)), t.end()])
-
     def parts(self, text: str) -> list[str]:
         """text cut where a pre-token starts, whatever is around."""
         if "  " in text:
@@ -172,40 +218,69 @@ class Bpe:
         return out
 
     def prepare(self, parts: set[str]) -> None:
-        """Encodes the chunks that aren't known yet, all of their new words in one go."""
-        new = [c for c in parts if c not in self.chunks]
+        """Encodes the short parts that aren't remembered, all of their pre-tokens in one step."""
+        new = [c for c in parts if len(c) <= SHORT and c not in self.chunks]
         if not new:
             return
-        if len(self.chunks) + len(new) > CACHE:
+        if self.held > CACHE_BYTES:
             self.chunks.clear()
-            new = list(parts)
+            self.held = 0
+            new = [c for c in parts if len(c) <= SHORT]
         split = [[w.encode() for w in self.pattern.findall(c)] for c in new]
-        words = {w for ws in split for w in ws if w not in self.tokens}
-        if len(self.tokens) + len(words) > CACHE:
-            self.tokens.clear()
-            words = {w for ws in split for w in ws}
-        self.words(list(words))
-        known = self.tokens
+        words = list({w for ws in split for w in ws})
+        known = {w: ids for w, (ids, _) in zip(words, self.settle(words, True))}
         for c, ws in zip(new, split):
-            self.chunks[c] = b"".join([known[w] if len(w) <= SHORT else self.long_word(w) for w in ws])
+            ids = self.chunks[c] = b"".join([known[w] for w in ws])
+            self.held += 200 + 2 * len(c) + len(ids)
 
-    def window(self, text: str) -> bytes:
+    def window(self, text: str) -> Iterator[bytes]:
+        """Ids of a text that ends where a pre-token ends, whatever follows."""
         parts = self.parts(text)
         self.prepare(set(parts))
-        return b"".join(map(self.chunks.__getitem__, parts))
+        try:
+            yield b"".join(map(self.chunks.__getitem__, parts))
+        except KeyError:  # a long part
+            for p in parts:
+                if len(p) <= SHORT:
+                    yield self.chunks[p]
+                else:
+                    t = Transducer(self)
+                    yield t.feed(p)
+                    yield t.end()
+
+    def plain(self, text: str) -> Iterator[bytes]:
+        at = 0
+        while at < len(text):
+            to = at + WINDOW
+            if to < len(text):
+                # the last space between others, near the window's end
+                to = text.rfind(" ", at + 1, to)
+                while to > 0 and not CUT.match(text, to):
+                    to = text.rfind(" ", at + 1, to)
+            if to > 0:
+                yield from self.window(text[at:to])
+                at = to
+                continue
+            # no certain border: the transducer reads on up to the next one
+            t, m, look = Transducer(self), None, at + 1
+            while at < len(text) and not m:
+                m = CUT.search(text, look, at + WINDOW)
+                to = m.start() if m else min(len(text), at + WINDOW)
+                yield t.feed(text[at:to])
+                at = look = to
+            yield t.end()
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the text, as little-endian unsigned 32-bit integers, in stable runs."""
-        for k, piece in enumerate(re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)) if any(s in text for s in self.special) else ((0, text),):
-            if k % 2:
-                yield self.special[piece].to_bytes(4, "little")
-                continue
-            at = 0
-            while at < len(piece):
-                m = CUT.search(piece, at + WINDOW) if at + WINDOW < len(piece) else None
-                to = m.start() if m else len(piece)
-                yield self.window(piece[at:to])
-                at = to
+        if not any(s in text for s in self.special):
+            yield from self.plain(text)
+            return
+        special, at = re.compile("|".join(map(re.escape, self.special))), 0
+        for m in special.finditer(text):
+            yield from self.plain(text[at : m.start()])
+            yield self.special[m[0]].to_bytes(4, "little")
+            at = m.end()
+        yield from self.plain(text[at:])
 
     # -- decoding --------------------------------------------------------------------------------------------------
 
@@ -218,47 +293,67 @@ class Bpe:
 
 
 class Transducer:
-    """Encodes one pre-token fed in pieces; feed returns the ids that have become stable."""
+    """Encodes a text that is fed in pieces of any size; feed returns the ids that have become stable."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.buf, self.before, self.last = bpe, b"", -1, [-1]
-
-    def feed(self, more: bytes) -> bytes:
-        """last[i]: the token that ends the encoding of the window's first i bytes, given the tokens emitted before."""
-        bpe, start = self.bpe, len(self.buf)
-        self.buf += more
-        for i in range(start + 1, len(self.buf) + 1):
-            for n in bpe.lengths:
-                if n <= i and (t := bpe.id_of.get(self.buf[i - n : i])) is not None:
-                    p = self.last[i - n] if i > n else self.before
-                    if (i == n or p >= 0) and bpe.fit(p, t):
-                        self.last.append(t)
-                        break
-            else:
-                self.last.append(-1)
-        ends = None
-        for j in range(max(0, len(self.buf) - bpe.lookahead), len(self.buf) + 1):
-            if j and self.last[j] < 0:
-                continue
-            borders = {0}
-            while j:
-                borders.add(j)
-                j -= len(bpe.bytes_of[self.last[j]])
-            ends = borders if ends is None else ends & borders
-        return self.emit(max(ends or {0}))
-
-    def emit(self, to: int) -> bytes:
-        out, j = [], to
-        while j:
-            out.append(self.last[j])
-            j -= len(self.bpe.bytes_of[self.last[j]])
-        if to:
-            self.before = self.last[to]
-            self.buf, self.last = self.buf[to:], [self.before, *self.last[to + 1 :]]
-        return np.array(out[::-1], "<u4").tobytes()
+        self.bpe = bpe
+        self.text = ""  # characters that aren't cut for certain yet
+        self.run = None  # the pattern that an open pre-token goes on by
+        self.bytes = b""  # bytes of the current pre-token whose tokens may still change
+
+    def feed(self, more: str) -> bytes:
+        self.text += more
+        return self._cut(len(self.text) - SEEN)
 
     def end(self) -> bytes:
-        return self.emit(len(self.buf))
+        out = self._cut(len(self.text) + 1)
+        self.text, self.run = "", None
+        return out + self._close()
+
+    def _cut(self, certain: int) -> bytes:
+        """Takes the pre-tokens that end at `certain` or before; the start of one that goes beyond is fed once it is long."""
+        out, at, bpe = [], 0, self.bpe
+        if self.run is not None:
+            m = self.run.match(self.text)
+            to = m.end() if m else 0
+            if to > certain:
+                to = max(0, certain)
+                out.append(self._push(self.text[:to]))
+                self.text = self.text[to:]
+                return b"".join(out)
+            out += [self._push(self.text[:to]), self._close()]
+            self.run, at = None, to
+        while at < len(self.text):
+            m = bpe.pattern.match(self.text, at)
+            if m.end() > certain:
+                if certain - at > STEP:
+                    self.run = next(go for one, go in bpe.runs if one.match(self.text, certain - 1))
+                    out.append(self._push(self.text[at:certain]))
+                    at = certain
+                break
+            out += [self._push(m[0]), self._close()]
+            at = m.end()
+        self.text = self.text[at:]
+        return b"".join(out)
+
+    def _push(self, chars: str) -> bytes:
+        """Adds bytes to the window, and emits what is stable whenever it is full."""
+        data, out, at = chars.encode(), [], 0
+        full = self.bpe.lookahead + self.bpe.longest + STEP  # so that a token at least is stable
+        while at < len(data):
+            more = data[at : at + full - len(self.bytes)]
+            self.bytes += more
+            at += len(more)
+            if len(self.bytes) >= full:
+                ids, size = self.bpe.settle([self.bytes], False)[0]
+                out.append(ids)
+                self.bytes = self.bytes[size:]
+        return b"".join(out)
+
+    def _close(self) -> bytes:
+        ids, _ = self.bpe.settle([self.bytes], True)[0] if self.bytes else (b"", 0)
+        self.bytes = b""
+        return ids
 
 
 _loaded: dict[str, Bpe] = {}
@@ -271,7 +366,7 @@ def load(path: str) -> Bpe:
 
 
 def ahead(bpe: Bpe, texts: list) -> Iterator[str]:
-    """The texts, after the new words of some of them at a time have been merged together. Longer ones come window by window."""
+    """The texts, after the new words of some of them have been encoded together. Longer ones come window by window."""
     some, size = [], 0
     for k, text in enumerate(texts):
         some.append(text or "")
@@ -297,10 +392,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for text in ahead(bpe, batch.column(1).to_pylist()):
                 n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
 
-                def runs(text=text or "", ids=ids):
+                def runs(text=text, ids=ids):
+                    nonlocal n
                     for run in bpe.encode(text):
                         ids.update(run)
-                        nonlocal n
                         n += len(run) // 4
                         yield run
 

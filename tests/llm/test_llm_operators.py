@@ -122,17 +122,97 @@ def test_bpe_round_trip(tokenizer, text):
 def test_bpe_transducer_and_windows(tokenizer, docs, monkeypatch):
     own, lib = tokenizer
     rnd = random.Random(2)
-    for text in ["a" * 3000, "".join(rnd.choice("abcdeth") for _ in range(4000)), "中文" * 900, "!?" * 700, "x<|endoftext|> y", "  " * 500 + "z \n\n" * 90]:
+    for text in ["a" * 3000, "".join(rnd.choice("abcdeth") for _ in range(4000)), "中文" * 900, "!?" * 700, "x<|endoftext|> y", "  " * 500 + "z \n\n" * 90, "it's we'll 'tis don't" * 200, "1" * 900 + " " + "-" * 900]:
         want = lib.encode(text, add_special_tokens=False).ids
-        for short, window in ((4, 50), (128, 1 << 16)):
+        for short, step, window in ((4, 7, 50), (1, 40, 9), (128, 1 << 10, 1 << 16)):
             monkeypatch.setattr(bpe, "SHORT", short)
+            monkeypatch.setattr(bpe, "STEP", step)
             monkeypatch.setattr(bpe, "WINDOW", window)
-            own.chunks.clear(), own.tokens.clear()
+            own.chunks.clear()
             assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == want
+    monkeypatch.undo()
     for text in list(docs.values())[:40]:
         assert np.frombuffer(b"".join(own.encode(text or "")), "<u4").tolist() == lib.encode(text or "", add_special_tokens=False).ids
 
 
+@given(st.text(alphabet="abdetAB' s.,!\n\t \x1c\x85\xa0éñ中\U0001f60001", max_size=200), st.lists(st.integers(1, 40), min_size=1, max_size=20), st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_bpe_transducer_doesnt_depend_on_its_pieces(tokenizer, text, sizes, step):
+    own, lib = tokenizer
+    held, bpe.STEP = bpe.STEP, step
+    try:
+        t, out, at, k = bpe.Transducer(own), [], 0, 0
+        while at < len(text):
+            out.append(t.feed(text[at : at + sizes[k % len(sizes)]]))
+            at, k = at + sizes[k % len(sizes)], k + 1
+        out.append(t.end())
+    finally:
+        bpe.STEP = held
+    assert np.frombuffer(b"".join(out), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_lookahead_suffices(tokenizer):
+    """Tokens that end `lookahead` bytes before the end of a read part are those of any text that starts so."""
+    own, _ = tokenizer
+    rnd, words_ = random.Random(4), list(own.bytes_of.values())
+    for n in range(400):
+        kind = n % 3
+        data = b"".join(rnd.choice(words_) if kind else bytes([rnd.choice(b"aeinrst ")]) for _ in range(40 if kind else 400)) * (3 if kind == 2 else 1)
+        cut = rnd.randrange(own.lookahead + 1, len(data)) if len(data) > own.lookahead + 1 else len(data)
+        ids, size = own.settle([data[:cut]], False)[0]
+        whole = own.merge_one(data).astype("<u4").tobytes()
+        assert whole.startswith(ids) and cut - size <= own.lookahead + max(map(len, words_))
+        assert own.merge_one(data[size:]).astype("<u4").tobytes() == whole[len(ids) :]
+
+
+def test_bpe_merges_by_definition(tokenizer):
+    own, _ = tokenizer
+    rnd = random.Random(6)
+
+    def plain(word):
+        out = own.first[np.frombuffer(word, np.uint8)].tolist()
+        while pairs := [(own.rank[p][0], k) for k, p in enumerate(zip(out, out[1:])) if p in own.rank]:
+            _, k = min(pairs)
+            out[k : k + 2] = [own.rank[out[k], out[k + 1]][1]]
+        return out
+
+    some = [bytes(rnd.choice(b"aaabdeghinorst ") for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    for word, many in zip(some, own.merge_many(some)):
+        assert plain(word) == many.tolist() == own.merge_one(word).tolist()
+
+
+def test_bpe_has_one_way_through_a_bounded_window(tokenizer, docs, monkeypatch):
+    """Every id comes out of settle, whose windows stay small for a long text without any space."""
+    import tracemalloc
+
+    own, lib = tokenizer
+    seen, settle = [], bpe.Bpe.settle
+
+    def spy(self, windows, whole):
+        out = settle(self, windows, whole)
+        seen.append((sum(map(len, windows)), max(map(len, windows), default=0), sum(len(ids) for ids, _ in out)))
+        return out
+
+    monkeypatch.setattr(bpe.Bpe, "settle", spy)
+    for text in [max((t or "" for t in docs.values()), key=len), "word after word " * 50]:
+        own.chunks.clear()
+        own.held = 0
+        seen.clear()
+        n = sum(len(run) for run in own.encode(text)) // 4
+        assert n == len(lib.encode(text, add_special_tokens=False).ids) and sum(x for *_, x in seen) > 0
+        # what is remembered is what settle has given
+        assert sum(len(v) for v in own.chunks.values()) <= 4 * n
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh中文") for _ in range(2000)) * 60
+    own.chunks.clear()
+    seen.clear()
+    tracemalloc.start()
+    n = sum(len(run) for run in own.encode(text)) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(w for _, w, _ in seen) <= own.lookahead + own.longest + bpe.STEP and sum(x for *_, x in seen) == 4 * n and peak < 4 << 20 and not own.chunks
+
+
 def test_url_rules_and_model(spark):
     cases = [
         ("http://a.org/x", "org/", "allow"), ("http://org/", "org/", "allow"), ("http://notorg/x", None, "allow"), ("http://example.org/es/1", "example.org/es/", "block"),
