@@ -9,7 +9,11 @@ Pairs whose signatures tell a similarity far below the bound are dropped, the ot
 the texts of the documents concerned.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; rows that share an id are one
-document; an empty table gives no rows. Texts are shingled whole.
+document, with the links of all of its texts; rows without an id take part by their text: component_id is the least id that they
+reach, and null, and they are kept, if they reach none; repeated rows have repeated results; an empty table gives no rows; other
+columns aren't read, and `stage` hands them on as they are. Texts are shingled whole.
+
+Inside, a class is a node: a long, its representative's id where that names one class only, else a negative hash of the class.
 """
 
 from __future__ import annotations
@@ -92,19 +96,21 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """docs (doc_id, key, text) with sizes, 128-bit prints of their sets, and signatures."""
+
     def run(batches):
         import xxhash
 
         for batch in batches:
             sizes, prints, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "print", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, print binary, sig binary")
 
 
 def _bands(signed: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def _bands(signed: DataFrame) -> DataFrame:
             keys = [band_keys(np.frombuffer(s, np.uint32)) for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["doc", "n", "band"])
 
-    return signed.select("doc_id", "n_shingles", "sig").mapInArrow(run, "doc long, n long, band long")
+    return signed.select("node", "n_shingles", "sig").mapInArrow(run, "doc long, n long, band long")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -136,7 +142,19 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -
                 keep.append(100 * both >= LEAST * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def sets(batches):
+    sig = reps.select(F.col("node").alias("doc"), "sig")
+    near = pairs.join(sig.withColumnsRenamed({"doc": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"doc": "b", "sig": "sb"}), "b")
+    near = written(near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "near")
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    full = written(_sets(reps.join(wanted, "node", "left_semi"), docs, width).dropDuplicates(["doc"]), "sets")
+    both = near.join(full.withColumnsRenamed({"doc": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"doc": "b", "set": "sb"}), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc (the node) and its whole set, read anew from the texts of docs; a node once for each row of its text."""
+
+    def run(batches):
         import xxhash
 
         for batch in batches:
@@ -144,15 +162,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -
             keep = pa.array([xxhash.xxh3_128_digest(s) == p for s, p in zip(out, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "set"]).filter(keep)
 
-    sig = reps.select(F.col("doc_id").alias("doc"), "sig")
-    near = pairs.join(sig.withColumnsRenamed({"doc": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"doc": "b", "sig": "sb"}), "b")
-    near = written(near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = reps.select("doc_id", "print").join(wanted, "doc_id", "left_semi")
-    full = docs.join(wanted, "doc_id").select("doc_id", "print", "text").mapInArrow(sets, "doc long, set binary").dropDuplicates(["doc"])
-    full = written(full, "sets")
-    both = near.join(full.withColumnsRenamed({"doc": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"doc": "b", "set": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return docs.select("key", "text").join(wanted.select("node", "key", "print"), "key").select("node", "print", "text").mapInArrow(run, "doc long, set binary")
 
 
 def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -164,19 +174,13 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
     memory-mapped files of the shared folder.
     """
     spark = rest.sparkSession
-    wanted = rest.select(F.col("doc").alias("doc_id")).distinct()
+    wanted = rest.select(F.col("doc").alias("node")).distinct()
     shards = max(4, root_buckets(wanted.count()) // 4)
     folder = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
 
-    def sets(batches):
-        import xxhash
-
+    def dealt_to(batches):
         for batch in batches:
-            ids, prints, texts = (batch.column(k).to_pylist() for k in range(3))
-            out = [shingle_set(t, width).tobytes() for t in texts]
-            keep = pa.array([xxhash.xxh3_128_digest(s) == p for s, p in zip(out, prints)], pa.bool_())
-            shard = pa.array([shard_of(i, shards) for i in ids], pa.int32())
-            yield pa.RecordBatch.from_arrays([shard, batch.column(0), pa.array(out, pa.binary())], ["shard", "doc", "set"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([shard_of(i, shards) for i in batch.column(0).to_pylist()], pa.int32()), batch.column(0), batch.column(1)], ["shard", "doc", "set"])
 
     def store(key, pdf):
         import pandas as pd
@@ -186,8 +190,8 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
         save(folder, str(key[0]), {"doc": pdf["doc"].to_numpy(np.int64), "at": np.r_[0, np.cumsum(sizes)].astype(np.int64), "set": np.frombuffer(b"".join(pdf["set"]), np.uint64)})
         return pd.DataFrame({"n": [len(pdf)]})
 
-    marked = reps.select("doc_id", "print", "sig").join(wanted, "doc_id", "left_semi")
-    docs.join(marked.select("doc_id", "print"), "doc_id").select("doc_id", "print", "text").mapInArrow(sets, "shard int, doc long, set binary").groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
+    marked = written(reps.select("node", "key", "print", "sig").join(wanted, "node", "left_semi"), "marked")
+    _sets(marked, docs, width).mapInArrow(dealt_to, "shard int, doc long, set binary").groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
 
     def codes(batches):
         for batch in batches:
@@ -197,7 +201,7 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
                 out.append(sig.astype(np.uint8).tobytes() + (band_keys(sig).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "code"])
 
-    coded = rest.join(marked.select("doc_id", "sig").mapInArrow(codes, "doc long, code binary"), "doc")
+    coded = rest.join(marked.select("node", "sig").mapInArrow(codes, "doc long, code binary"), "doc")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = coded.withColumn("own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -252,31 +256,41 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
 
 def classes(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for docs (doc_id, text), a row for each row."""
-    docs = docs.select("doc_id", "text")
+    # rows without an id are found again by their text
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
     signed = written(_signed(docs, width), "signatures")
-    of_print = signed.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    member = signed.select("doc_id", "n_shingles", "print").join(of_print, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    member = written(member.select("doc_id", "n_shingles", "rep"), "members")
-    reps = signed.join(of_print, "print").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "print", "sig")
-    reps = written(reps, "representatives")
+    of_print = signed.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "key")).alias("_k"))
+    of_print = of_print.select("print", "rep", F.col("_k.key").alias("key"))
+    first = of_print.where("rep IS NOT NULL").groupBy("rep").agg(F.min("print").alias("_first"))
+    hashed = -F.shiftrightunsigned(F.xxhash64("print"), 2) - F.lit(1 << 62)
+    nodes = of_print.join(first, "rep", "left").withColumn("node", F.when(F.col("_first") == F.col("print"), F.col("rep")).otherwise(hashed))
+    nodes = written(nodes.select("print", "rep", "key", "node"), "nodes")
+    member = written(signed.select("doc_id", "n_shingles", "print").join(nodes.select("print", "node"), "print").select("doc_id", "n_shingles", "node"), "members")
+    reps = signed.select("key", "n_shingles", "print", "sig").join(nodes.select("print", F.col("key").alias("_key"), "node"), "print").where("key = _key").dropDuplicates(["node"])
+    reps = written(reps.select("node", "key", "n_shingles", "print", "sig"), "representatives")
     rows = _bands(reps)
     # buckets of two or more; the least member stands for its bucket
     least = rows.groupBy("band").agg(F.min("doc").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     buckets = written(rows.join(least, "band"), "buckets")
     fits = lambda x, y: (100 * F.least(x, y) >= LEAST * F.greatest(x, y))
-    sizes = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"))
-    first = buckets.where("doc <> a").select("a", F.col("doc").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("n_a"))).select("a", "b")
-    links = written(_confirmed(first, reps, docs, width), "links")
+    sizes = reps.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    pairs = buckets.where("doc <> a").select("a", F.col("doc").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("n_a"))).select("a", "b")
+    links = written(_confirmed(pairs, reps, docs, width), "links")
     found = components(links)
     # members of a bucket that are still apart
     placed = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     apart = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("band", "m")
     rest = written(placed.join(apart, "band").select("band", "m", "doc", "n", "component"), "apart")
     links = links.unionByName(written(_apart_links(rest, reps, docs, width), "more"))
-    ids = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    found = components(links.unionByName(ids))
-    out = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # the texts of one id
+    of_id = member.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    of_id = member.join(of_id.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = nodes.select("node", "rep").join(components(links.unionByName(of_id)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = found.select("node", "component").join(named, "component").select("node", "component_id")
+    out = member.join(named, "node").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(signed.where("print IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +298,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, on shingles of five words."""
-    dropped = classes(docs, 5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, on shingles of five words. Rows without an id stay: nothing names the one to drop."""
+    dropped = classes(docs, 5).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_dup_id")).distinct()
+    kept = docs.join(dropped, F.col("doc_id") == F.col("_near_dup_id"), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
