@@ -203,7 +203,7 @@ def rule_number(rules: list[list[Condition]]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the five counts, base_failed, rule (the list's rule that fired, 0 if none) and kept."""
+    """docs with the five counts, base_failed, rule (the list's rule that fired, 0 if none) and kept, in place of columns of these names."""
     rules = learn(docs, labels)
     df = with_counts(docs.drop("base_failed", "rule", "kept"))
     return df.withColumns({"base_failed": base_failed(), "rule": rule_number(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
@@ -215,5 +215,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the list keeps, with their own columns."""
-    return judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """The documents that the list keeps, with their own columns, also those that are named as the list's."""
+    labels = table(spark, sf_dir, "labels")
+    rules = learn(docs, labels)
+    own = {c: f"_q_own_{k}" for k, c in enumerate(docs.columns)}
+    df = with_counts(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), own["text"])
+    kept = df.where(~base_failed() & (rule_number(rules) == 0))
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])
