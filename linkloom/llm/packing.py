@@ -2,11 +2,13 @@
 
 A document's ids are cut into full sequences and a rest; the pieces of a randomised group of about GROUP_DOCS
 documents are packed by first-fit decreasing. Only piece lengths and checksums are shuffled, never texts or ids, and
-no group grows with the table: there are more groups instead. A group is chosen by a hash of the id and of the row's
-number in its task, so that copies of a row spread over groups.
+no group grows with the table: there are more groups instead. Rows of one id and the same ids are counted first and then numbered,
+and a group is chosen by a hash of the id, the checksums and that number: copies spread over groups, and the dealing depends on
+neither the order in which rows come nor the number of tasks, so a task that is run again deals as before.
 
-Defined results: a null or empty text has the end id alone; repeated rows are packed one by one; an empty table
-gives no rows. A text of any length is cut into as many pieces as it needs.
+Defined results: a null or empty text has the end id alone; repeated rows are packed one by one; a null id is an id of its own;
+equal lengths are ordered by id, start and checksum; an empty table gives no rows; columns other than doc_id and text
+aren't read, whatever their names. A text of any length is cut into as many pieces as it needs.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm.common import table
 
@@ -119,20 +122,20 @@ def pieces(docs: DataFrame, groups: int, path: str, width: int = WIDTH) -> DataF
     """A row for each piece of each document (doc_id, text), with its group."""
 
     def run(batches):
-        encoder, row = ChunkEncoder.of(path), 0
+        encoder = ChunkEncoder.of(path)
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids([t or "" for t in batch.column(1).to_pylist()])):
-                row += 1
+            sizes, crcs = [], []
+            for ids in encoder.ids([t or "" for t in batch.column(1).to_pylist()]):
                 ids += END_ID.to_bytes(4, "little")
-                group = zlib.crc32(b"%d/%d" % (doc_id or 0, row)) % groups
-                for start, n, crc in cut(ids, width):
-                    for c, v in zip(cols, (doc_id, start, n, crc, len(ids) // 4, group)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"])
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                sizes.append(len(ids) // 4)
+                crcs.append([crc for _, _, crc in cut(ids, width)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    rows = own.groupBy("doc_id", "doc_tokens", "crcs").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", "copy"), F.lit(groups)))
+    rows = rows.select("doc_id", "doc_tokens", "pack_group", F.posexplode("crcs").alias("k", "ids_crc32")).withColumn("start", F.col("k").cast("long") * width)
+    return rows.select("doc_id", "start", F.least(F.lit(width), F.col("doc_tokens") - F.col("start")).alias("length"), "ids_crc32", "doc_tokens", "pack_group")
 
 
 def pack(docs: DataFrame, rows: int, path: str | None = None, width: int = WIDTH, group_docs: int = GROUP_DOCS) -> DataFrame:
