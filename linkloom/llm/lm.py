@@ -89,8 +89,9 @@ def _shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-def _merged(keys: list[bytes], counts: list[bytes], of=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.frombuffer(b"".join(keys), of), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+def _merged(keys: list[bytes], counts: list[bytes], of=np.uint64, counted=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    k, n = np.frombuffer(b"".join(keys), of), np.frombuffer(b"".join(counts), counted).astype(np.int64)
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
@@ -150,7 +151,7 @@ def build(docs: DataFrame, shards: int, folder: str) -> dict:
 
         out = []
         of = lambda kind, c: pdf.loc[pdf["kind"] == kind, c].tolist()
-        k, n = _merged(of("b", "keys"), of("b", "counts"))
+        k, n = _merged(of("b", "keys"), of("b", "counts"), counted=np.uint32)
         save(folder, f"pairs-{key[0]}", {"key": k} | _packed(n))
         by = np.bincount(np.minimum(n, 5), minlength=6)
         pair = unmix(k)
@@ -159,14 +160,14 @@ def build(docs: DataFrame, shards: int, folder: str) -> dict:
             order = np.argsort(word, kind="stable")
             word, what = word[order], what[order]
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
-            sums = [np.add.reduceat((what == v).astype(np.uint32), first) if len(word) else np.empty(0, np.uint32) for v in ((1, 2, 3) if kind == "after" else (1,))]
+            sums = [np.add.reduceat((what == v).astype(np.int64), first) if len(word) else np.empty(0, np.int64) for v in ((1, 2, 3) if kind == "after" else (1,))]
             word = word[first]
             cuts = _shard_cuts(word.astype(np.uint64) << np.uint64(32), shards)
-            out += [(s, kind, word[a:b].tobytes(), b"".join(x[a:b].astype(np.uint32).tobytes() for x in sums)) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        k, n = _merged(of("u", "keys"), of("u", "counts"))
+            out += [(s, kind, word[a:b].tobytes(), b"".join(x[a:b].tobytes() for x in sums)) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        k, n = _merged(of("u", "keys"), of("u", "counts"), counted=np.uint32)  # of a flush
         # a word of the exact table goes where the upper half of its hash goes
         cuts = _shard_cuts(k & np.uint64(0xFFFFFFFF00000000), shards)
-        out += [(s, "exact", k[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        out += [(s, "exact", k[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         out.append((key[0], "totals", by.astype(np.int64).tobytes(), b""))
         return pd.DataFrame(out, columns=["shard", "kind", "keys", "counts"])
 
@@ -176,7 +177,7 @@ def build(docs: DataFrame, shards: int, folder: str) -> dict:
         of = lambda kind, c: pdf.loc[pdf["kind"] == kind, c].tolist()
         k, n = _merged(of("exact", "keys"), of("exact", "counts"))
         a_keys = of("after", "keys")
-        split = [np.frombuffer(c, np.uint32).reshape(3, -1) for c in of("after", "counts")]
+        split = [np.frombuffer(c, np.int64).reshape(3, -1) for c in of("after", "counts")]
         after = [_merged(a_keys, [c[v].tobytes() for c in split], np.uint32) for v in range(3)]
         b_key, before = _merged(of("before", "keys"), of("before", "counts"), np.uint32)
         half = np.union1d(after[0][0], b_key)
@@ -191,14 +192,16 @@ def build(docs: DataFrame, shards: int, folder: str) -> dict:
         return pd.DataFrame([row | {f"p{i}": int(pairs[i]) for i in range(1, 5)} | {f"c{i}": int(cont[i]) for i in range(1, 5)}])
 
     blobs = "shard int, kind string, keys binary, counts binary"
-    counted = docs.select("doc_id", "text").mapInArrow(count, blobs).groupBy("shard").applyInPandas(merge, blobs)
+    # every shard writes its files, also one without keys: a file that is missing is a loss, not an empty shard
+    every = docs.sparkSession.range(0, shards, 1, min(shards, 8)).select(F.col("id").cast("int").alias("shard"), F.lit("").alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+    counted = docs.select("doc_id", "text").mapInArrow(count, blobs).unionByName(every).groupBy("shard").applyInPandas(merge, blobs)
     totals = "tokens long, kinds long, pairs long, conts long, " + ", ".join(f"{x}{i} long" for x in "pc" for i in range(1, 5))
     found = counted.groupBy("shard").applyInPandas(words, totals).agg(*[F.sum(c).alias(c) for c in [x.split()[0] for x in totals.split(", ")]]).first()
     return {k: int(v or 0) for k, v in found.asDict().items()}
 
 
 def _spread(keys: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(keys), np.uint32)
+    out = np.zeros(len(keys), np.int64)
     out[np.searchsorted(keys, k)] = n
     return out
 
@@ -217,7 +220,7 @@ class Model:
 
     def __init__(self, folder: str, shards: int, totals: dict):
         self.folder, self.shards, self.t = folder, shards, totals
-        self.files: dict[str, dict | None] = {}
+        self.files: dict[str, dict] = {}
         self.d2 = discounts(*(totals[f"p{i}"] for i in range(1, 5)))
         self.d1 = discounts(*(totals[f"c{i}"] for i in range(1, 5)))
         t = totals
@@ -225,12 +228,9 @@ class Model:
         self.floor = (float(self.d1[1] * t["c1"] + self.d1[2] * t["c2"] + self.d1[3] * left) / t["pairs"] if t["pairs"] else 1.0) / (t["kinds"] + 1)
         self.start = np.uint64(_hash[START])
 
-    def _file(self, name: str) -> dict | None:
+    def _file(self, name: str) -> dict:
         if name not in self.files:
-            try:
-                self.files[name] = mapped(self.folder, name)
-            except FileNotFoundError:  # a shard without keys
-                self.files[name] = None
+            self.files[name] = mapped(self.folder, name)
         return self.files[name]
 
     def _look(self, keys: np.ndarray, ranges: np.ndarray, kind: str, column: str, want: dict[str, np.ndarray]) -> None:
@@ -238,7 +238,7 @@ class Model:
         cuts = _shard_cuts(ranges, self.shards)
         for s in np.flatnonzero(np.diff(cuts)):
             f = self._file(f"{kind}-{s}")
-            if f is None or not len(f[column]):
+            if not len(f[column]):
                 continue
             own = keys[cuts[s] : cuts[s + 1]]
             at = np.searchsorted(f[column], own)
