@@ -84,6 +84,44 @@ def test_pipeline(spark, folders):
     assert corpus_pipeline.run(spark, folders["full"]).where("length > 0").count() > 0
 
 
+def test_an_id_of_two_texts_and_rows_without_an_id(spark):
+    text = lambda p: " ".join(f"{p}{k}" for k in range(12))
+    a, b, q = text("a"), text("b"), text("q")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, a), (None, q), (7, q + " r"), (8, ""), (8, None), (None, ""), (None, text("n"))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {(1, 11, 1, True), (2, 12, 1, False), (3, 12, 1, False), (None, 11, 1, False), (None, 11, 7, False), (7, 12, 7, True), (8, 0, 8, True), (None, 0, None, True), (None, 11, None, True)}
+
+
+def test_quality_stage_hands_clashing_columns_on(spark, folders):
+    docs = spark.createDataFrame([(1, LONG, False, "mine", -1, "t")], "doc_id long, text string, kept boolean, rule string, n_words int, _q_t string")
+    assert [tuple(r) for r in quality.stage(spark, docs, folders["full"]).collect()] == [(1, LONG, False, "mine", -1, "t")]
+
+
+def test_packing_doesnt_depend_on_the_order_of_rows(spark):
+    rows = [(5, "x y")] * 20 + [(None, None)] * 3 + [(k, " ".join(f"w{k} {j}" for j in range(k))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = lambda d: sorted(map(str, packing.pack(d, len(rows), group_docs=20).collect()))
+    assert packed(df) == packed(df.orderBy("text").repartition(7)) and len(packed(df)) >= len(rows)
+
+
+def test_lm_fails_without_a_shard(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(k, f"word{k} and") for k in range(20)], "doc_id long, text string")
+    totals = lm.build(df, 6, str(tmp_path)) | {"starts": 20}
+    assert {f"{k}-{s}" for k in ("pairs", "words") for s in range(6)} <= set(os.listdir(tmp_path))
+    assert lm.score(df, 6, str(tmp_path), totals).count() == 20
+    for s in range(6):
+        os.remove(tmp_path / f"words-{s}")
+    with pytest.raises(Exception, match="words-"):
+        lm.score(df, 6, str(tmp_path), totals).collect()
+
+
+def test_counts_beyond_32_bits():
+    k, n = lm._merged([np.array([7, 9], np.uint64).tobytes()] * 3, [np.array([3 << 31, 1], np.int64).tobytes()] * 3)
+    assert k.tolist() == [7, 9] and n.tolist() == [9 << 31, 3]
+
+
 def test_components_of_a_path_and_a_star(spark):
     from linkloom.llm.components import components
 
