@@ -1,20 +1,24 @@
 """Main text of web pages by consensus of each host's pages on where their content stands.
 
 Every page is parsed into a tree; containers are scored by the share of the page's running text that they hold, and
-the page votes for their generalised paths (tags with classes and ids, digits replaced). Votes are added per host
-and path in Spark, pre-aggregated before the shuffle, so a host with a third of all pages is only as many rows as it
+the page votes for the generalised paths of all of them (tags with classes and ids, digits replaced). A path is a 64-bit hash that
+grows by a name with each element, so parsing and voting are linear in the page, however deep it nests. Votes are added per
+host and path in Spark, pre-aggregated before the shuffle, so a host with a third of all pages is only as many rows as it
 has different paths. Then each page is extracted again from its host's winning path; a page without such an element
 uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, comments and anything
 hidden are left out wherever they stand.
 
 Defined results: null or empty html has an empty text; a null url, or one without "://", belongs to the empty host;
-repeated pages vote and are returned one by one; markup that doesn't end, or ends twice, is read as browsers do,
+repeated pages vote and are returned one by one; of paths with equal votes the greater hash wins, of a page's equal containers the
+first; an empty table gives no rows; columns other than page_id, url and html aren't read, whatever their names; markup that doesn't end, or ends twice, is read as browsers do,
 as far as blocks go; pages of any length are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,8 +30,6 @@ from linkloom.llm.common import table, written
 #: Winning paths are broadcast up to so many bytes, else joined with salted hosts.
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
-#: Containers that a page votes for.
-VOTES = 4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<|[^<]+", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -53,26 +55,33 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "kids", "dropped", "mass", "good")
+    __slots__ = ("tag", "path", "parent", "kids", "dropped", "mass", "good")
 
     def __init__(self, tag, name, parent, dropped, good):
-        self.tag, self.name, self.parent, self.dropped, self.good = tag, name, parent, dropped, good
+        self.tag, self.parent, self.dropped, self.good = tag, parent, dropped, good
+        self.path = step(parent.path, name) if parent is not None else 0
         self.kids: list = []
         self.mass = 0.0
 
-    def path(self) -> str:
-        out, node = [], self
-        while node.parent is not None:
-            out.append(node.name)
-            node = node.parent
-        return "/".join(out[::-1])
+
+def step(path: int, name: str) -> int:
+    """The path of an element of that name below the path: a signed 64-bit hash."""
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8, key=path.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
 def parse(html: str) -> Node:
     root = node = Node("", "", None, False, False)
-    inside = 0  # articles and main parts around
+    opened: Counter = Counter()  # open elements by tag
     at, end = 0, len(html)
     match = TOKEN.match
+
+    def leave(upto: Node) -> Node:
+        k = node
+        while k is not upto:
+            opened[k.tag] -= 1
+            k = k.parent
+        return upto
+
     while at < end:
         m = match(html, at)
         at = m.end()
@@ -83,37 +92,33 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            k = node
+            k = node if opened[tag] else root
             while k.parent is not None and k.tag != tag:
                 if k.tag in SCOPE and tag not in SCOPE:
                     k = root
                     break
                 k = k.parent
             if k.parent is not None:
-                while node is not k:
-                    inside -= node.tag in ("article", "main")
-                    node = node.parent
-                inside -= node.tag in ("article", "main")
-                node = node.parent
+                node = leave(k.parent)
             elif tag in ("br", "p"):
                 node.kids.append(Node("br", "br", node, False, False))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             k = node
             while k.parent is not None and k.tag != "p" and k.tag not in SCOPE:
                 k = k.parent
             if k.tag == "p":
-                node = k.parent
-        if tag in FAMILY:
+                node = leave(k.parent)
+        if tag in FAMILY and any(opened[t] for t in FAMILY[tag][0]):
             same, stop = FAMILY[tag]
-            k = last = node
-            found = None
+            k, found = node, None
             while k.parent is not None and k.tag not in stop:
                 if k.tag in same:
                     found = k
                 k = k.parent
             if found is not None:
-                node = found.parent
+                node = leave(found.parent)
+        inside = opened["article"] + opened["main"]
         attrs = m[3]
         name, noise, good = tag, tag in DROP or (tag == "header" and not inside), tag in ("article", "main")
         if attrs and "=" in attrs or "hidden" in attrs:
@@ -134,13 +139,13 @@ def parse(html: str) -> Node:
             good = good or bool(words & GOOD)
             if tag not in ("html", "body", "main", "article") and (words & NOISE or (words & NOISE_OUTSIDE and not inside and not words & GOOD)):
                 noise = True
-        new = Node(tag, name.replace("/", "_"), node, noise, good)
+        new = Node(tag, name, node, noise, good)
         node.kids.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else end
         elif tag not in VOID and not attrs.endswith("/") or tag in CONTAINER:
-            inside += tag in ("article", "main")
+            opened[tag] += 1
             node = new
     return root
 
@@ -160,12 +165,7 @@ def text_of(top: Node) -> str:
                 out.append(" ")
                 stack.append(None)
             stack.extend(reversed(x.kids))
-    return " ".join(" ".join(unescape(s) if "&" in s else s for s in _joined(out)).split())
-
-
-def _joined(parts: list[str]):
-    """Parts of a block together, so that a reference cut by nothing but text stays whole."""
-    return ["".join(parts)]
+    return " ".join(unescape("".join(out)).split())
 
 
 def containers(root: Node) -> list[tuple[float, Node]]:
@@ -193,10 +193,10 @@ def containers(root: Node) -> list[tuple[float, Node]]:
     return found
 
 
-def extract(html: str, path: str | None) -> str:
+def extract(html: str, path: int | None) -> str:
     root = parse(html)
     found = containers(root)
-    return text_of(next((n for _, n in found if n.path() == path), found[0][1] if found else root))
+    return text_of(next((n for _, n in found if n.path == path), found[0][1] if found else root))
 
 
 def host_of(url: Column) -> Column:
@@ -211,13 +211,13 @@ def winners(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, paths, scores = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for score, node in containers(parse(html or ""))[:VOTES]:
+                for score, node in containers(parse(html or "")):
                     hosts.append(host)
-                    paths.append(node.path())
+                    paths.append(node.path)
                     scores.append(int(score * 1000))  # whole numbers: sums don't depend on their order
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
-    cast = pages.select("host", "html").mapInArrow(votes, "host string, path string, score long")
+    cast = pages.select("host", "html").mapInArrow(votes, "host string, path long, score long")
     summed = cast.groupBy("host", "path").agg(F.sum("score").alias("score"))
     return summed.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
@@ -227,7 +227,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     best = written(winners(pages), "paths")
-    size = best.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    size = best.agg(F.sum(F.octet_length("host") + 72)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         both = pages.join(F.broadcast(best), "host", "left")
     else:

@@ -376,7 +376,36 @@ def test_html(spark):
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [r["text"] for r in got] == ["Head & more One two. Next one <x> a b"] * 5 + ["plain"]
     best = html.winners(spark.createDataFrame([("h", page)], "host string, html string")).first()
-    assert best["path"] == "html/body.with-sidebar/div.post-content-0"
+    path = 0
+    for name in ("html", "body.with-sidebar", "div.post-content-0"):
+        path = html.step(path, name)
+    assert best["path"] == path
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    deep = lambda n: "<article>" + "<div class=a>" * n + "text" + "</b></section></p>" * n + "</div>" * n + "<p>end"
+    took = []
+    for n in (2_000, 100_000):
+        start = time.process_time()
+        assert html.extract(deep(n), None).split()[0] == "text"
+        took.append(time.process_time() - start)
+    assert took[1] < 50 * 8 * max(took[0], 0.02)
+
+
+@pytest.mark.parametrize("name", ["op5_embedding_near_dup", "op7_near_dup"])
+def test_query_against_its_sql(spark, name):
+    import duckdb
+
+    from linkloom.llm import queries
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cols = sorted(queries.QUERIES[name](spark, SF).columns)
+    got, want = (sorted(map(str, rows)) for rows in ([tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, SF).collect()], db.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()))
+    assert got == want
 
 
 def test_quality_counts_and_rules(spark):
