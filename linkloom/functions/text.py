@@ -71,6 +71,20 @@ FRENCH_STREETS = {
 DIGRAPHS = [("ph", "f"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("sh", "s"), ("ch", "c"), ("jh", "j"), ("w", "v"), ("z", "j"), ("q", "k"), ("x", "ks"), ("y", "i")]
 DOMAIN_B = r"(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9.-]*?)\.(?:com|in|net|org|co|biz|info|fr)(?:\b|/|$)"
 DOMAIN_A = r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.[a-z]{2,}(?:\.[a-z]{2,})?$"
+#: Aliases of states and cities where no table has been mined.
+ALIASES = {
+    "mh": "maharashtra", "dl": "delhi", "up": "uttar pradesh", "ka": "karnataka", "tn": "tamil nadu", "wb": "west bengal",
+    "gj": "gujarat", "tg": "telangana", "hr": "haryana", "rj": "rajasthan", "kl": "kerala", "br": "bihar", "mp": "madhya pradesh",
+    "ap": "andhra pradesh", "or": "odisha", "od": "odisha", "pb": "punjab", "orissa": "odisha", "keralam": "kerala", "poona": "pune",
+    "greater bombay": "mumbai", "bombay": "mumbai", "madras": "chennai", "calcutta": "kolkata", "bangalore": "bengaluru",
+    "new delhi": "delhi", "hyderabad city region": "hyderabad", "k.v.rangareddy": "rangareddy", "tx": "texas", "oh": "ohio",
+    "ny": "new york", "nc": "north carolina", "il": "illinois", "va": "virginia", "ma": "massachusetts", "az": "arizona",
+    "in": "indiana", "wa": "washington", "md": "maryland", "ca": "california", "al": "alabama", "wi": "wisconsin", "mn": "minnesota",
+    "ky": "kentucky", "ar": "arkansas", "mo": "missouri", "ok": "oklahoma", "pa": "pennsylvania", "ga": "georgia", "fl": "florida",
+    "mi": "michigan", "nj": "new jersey", "hauts-de-france": "hauts-de-france", "nouvelle-aquitaine": "nouvelle-aquitaine",
+    "pays de la loire": "pays de la loire", "nord": "nord", "gironde": "gironde", "loire-atlantique": "loire-atlantique",
+    "pas-de-calais": "pas-de-calais",
+}
 #: The nine Brahmic scripts share one layout from these code points on; sounds by offset.
 SCRIPT_BASES = range(0x0900, 0x0D80, 0x80)
 SCRIPT_NAMES = "devanagari bengali gurmukhi gujarati oriya tamil telugu kannada malayalam".split()
@@ -79,6 +93,8 @@ CONSONANTS = (0x15, "k kh g gh n c ch j jh n t th d dh n t th d dh n n p ph b bh
 SIGNS = (0x3E, "a i i u u r r e e e ai o au o l".split())
 DIGITS = (0x66, list("0123456789"))
 SILENT = {0x01: "", 0x02: "n", 0x03: "h", 0x3C: "", 0x4D: ""}
+#: A house number.
+NUMBER = "[0-9]+[a-z]?(?:[/-][0-9]+)?"
 UNKNOWN_COST, UNKNOWN_PER_LETTER, LONGEST_PIECE = 12.0, 2.5, 20
 
 
@@ -155,33 +171,54 @@ def script_of(c: Column | str) -> Column:
 
 
 def tag_numbers(c: Column | str) -> Column:
-    """[ZIP] around runs of 5 or 6 digits, [NUM] around the first other number."""
+    """[ZIP] around numbers of 5 or 6 digits, [NUM] around the text's first number (12, 12a, 12/4, 12-4) unless that is one of them."""
     zipped = F.regexp_replace(_text(c), r"(?<![0-9])([0-9]{5,6})(?![0-9])", "[ZIP] $1 [/ZIP]")
-    return F.regexp_replace(zipped, r"^((?:(?!\[ZIP\])[^0-9])*)([0-9]+[A-Za-z]?)(?![0-9])", "$1[NUM] $2 [/NUM]")
+    before = F.regexp_extract(zipped, "^[^0-9]*", 0)
+    return F.when(before.rlike(r"(?s)\[ZIP\].?$"), zipped).otherwise(F.regexp_replace(zipped, f"^([^0-9]*)({NUMBER.replace('a-z', 'A-Za-z')})", "$1[NUM] $2 [/NUM]"))
 
 
 # -- addresses and names --------------------------------------------------------------------------------------------
 
 
-def parse_address(c: Column | str) -> Column:
-    """struct(house, street_core, city, state) from comma-separated segments: state last, city before it."""
+def alias_lookup(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """The alias of the trimmed, lower-cased text, else of its romanised form; else that form, or the text where nothing is left of it."""
+    table = ALIASES if aliases is None else aliases
+    key = F.lower(F.trim(_text(c)))
+    roman = romanize(key)
+    if not table:
+        return F.when(roman != "", roman).otherwise(key)
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.element_at(pairs, key), F.element_at(pairs, roman), F.when(roman != "", roman), key)
+
+
+def parse_address(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """struct(house, street_core, city, state) of a cleaned text: state last of the comma-separated segments, city before it, by their aliases.
+
+    house is the first number without zeros in front; street_core the first word after it that tells a street, else the first such
+    word of the first segment that isn't a number. What there is none of is "".
+    """
     low = F.lower(_text(c))
     parts = F.filter(F.transform(F.split(low, ","), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(parts)
-    state = F.when(n >= 1, F.element_at(parts, -1)).otherwise("")
-    city = F.when(n >= 2, F.get(parts, n - 2)).otherwise("")
-    house = F.regexp_replace(F.regexp_extract(low, r"\b([0-9]+[a-z]?(?:[/-][0-9]+)?)", 1), r"^0+(?=.)", "")
-    words = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}°.]+"), 0), lambda t: _lookup(t, FRENCH_STREETS))
-    core = F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(STREET_STOPWORDS) & ~t.rlike("^[0-9]"))
-    return F.struct(house.alias("house"), F.coalesce(F.get(core, F.lit(0)), F.lit("")).alias("street_core"), city.alias("city"), state.alias("state"))
+    state, city = F.when(n >= 1, F.element_at(parts, -1)), F.when(n >= 2, F.get(parts, n - 2))
+    house = F.regexp_extract(low, NUMBER, 0)
+    after = F.substr(low, F.instr(low, house) + F.length(house))
+
+    def core(text: Column, numbers: bool) -> Column:
+        own = F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0), lambda t: _lookup(t, FRENCH_STREETS))
+        fit = F.filter(own, lambda t: (F.length(t) >= 3) & ~t.isin(STREET_STOPWORDS) & (F.lit(numbers) | ~t.rlike("^[0-9]+$")))
+        return F.get(fit, F.lit(0))
+
+    first = F.coalesce(F.get(parts, F.lit(0)), low)
+    street = F.coalesce(F.when(house != "", core(after, True)), core(first, False), F.lit(""))
+    return F.struct(F.regexp_replace(house, "^0+(?=.)", "").alias("house"), street.alias("street_core"), alias_lookup(city, aliases).alias("city"), alias_lookup(state, aliases).alias("state"))
 
 
 def is_nonce(c: Column | str) -> Column:
     """An invented name: one or two content tokens, each 4 to 16 letters; no domain, script or legal form."""
     own, every = content_tokens(c), tokens(c)
-    return (
-        ~is_domain(c) & ~is_indic(c) & (F.size(own) == F.size(every)) & F.size(own).between(1, 2) & F.forall(own, lambda t: t.rlike("^[a-z]{4,16}$"))
-    )
+    legal = F.exists(every, lambda t: t.isin(LEGAL))
+    return ~is_domain(c) & ~is_indic(c) & ~legal & F.size(own).between(1, 2) & F.forall(own, lambda t: t.rlike("^[a-z]{4,16}$"))
 
 
 def skeleton(c: Column | str) -> Column:
@@ -232,7 +269,7 @@ def clean_text(s: str | None) -> str:
 
 def romanize_text(s: str | None) -> str:
     """ASCII letters for Brahmic scripts and for letters with marks; others stay."""
-    s = unicodedata.normalize("NFKD", (s or "").translate(brahmic_table()))
+    s = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", s or "").translate(brahmic_table()))
     return re.sub(r"\s+", " ", "".join(c for c in s if not unicodedata.combining(c))).strip().lower()
 
 
@@ -292,13 +329,24 @@ def segment_by(stem: pd.Series, words: pd.Series, n: pd.Series, total: pd.Series
     return pd.Series([segment(s, dict(zip(w, c)), t, v) for s, w, c, t, v in zip(stem, words, n, total, vocabulary)])
 
 
+@F.pandas_udf(STRING)
+def plain(s: pd.Series) -> pd.Series:
+    """Composed, transliterated and then without marks: a vowel sign of two parts is one sign."""
+
+    def of(x):
+        x = unicodedata.normalize("NFC", x or "").translate(brahmic_table())
+        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+    return s.map(of)
+
+
 def normalize(c: Column | str, address: bool = False) -> Column:
-    """Marks stripped, lower case, '&' as and, anything but letters and digits as space, contracted, zeros in front of numbers dropped."""
-    s = F.lower(transliterate(strip_marks(_text(c))))
+    """Transliterated without marks, lower case, '&' as and, anything but letters and digits as space, contracted; numbers without zeros in front."""
+    s = F.lower(plain(_text(c)))
     stem = domain_stem_a(s)
     s = F.concat_ws(" ", F.replace(s, F.lit("&"), F.lit(" and ")), F.when(stem != "", stem))
     s = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    return F.regexp_replace(contract(s, address), r"\b0+([0-9])", "$1")
+    return F.regexp_replace(contract(s, address), r"\b0+([0-9]+)\b", "$1")
 
 
 def ocr_perturb(c: Column | str, key: Column | str, share: float = 0.15, seed: int = 13) -> Column:

@@ -50,8 +50,9 @@ def cascade(pairs: DataFrame, n: int, floor: float) -> DataFrame:
 
 
 def select_a(pairs: DataFrame, threshold: float, alpha: float, gate: float, cap: int) -> DataFrame:
-    """Empty if the best is below the gate; cut at the lower of threshold and alpha times the best; at most cap."""
-    packed = pack(pairs.dropDuplicates(["s1_id", "cand_id"]))
+    """Empty if the best is below the gate; cut at the lower of threshold and alpha times the best; at most cap. Of a pair that repeats the best score counts."""
+    best = F.row_number().over(Window.partitionBy("s1_id", "cand_id").orderBy(F.desc("p"), *[F.asc(c) for c in pairs.columns if c != "p"]))
+    packed = pack(pairs.withColumn("_best", best).where("_best = 1").drop("_best"))
     return packed.where((F.col("best_entity") >= gate) & (F.col("p") >= F.least(F.lit(threshold), alpha * F.col("best_entity"))) & (F.col("rank_entity") <= cap)).select(*pairs.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.session import written
 
 
 def majority(pairs: DataFrame, key: str, value: str, support: int, purity: float) -> DataFrame:
@@ -80,17 +81,14 @@ def similar_tokens(pairs: DataFrame, left: Column, right: Column, low: float = 5
 def model_one(pairs: DataFrame, rounds: int = 6) -> DataFrame:
     """Translation probabilities p(native | latin) by expectation maximisation over (latin, native) token arrays.
 
-    Each round is an equi-join and two aggregates. The table is checkpointed, so its plan stays one round long.
+    Each round is an equi-join and two aggregates. The table is written, so its plan stays one round long.
     """
     rows = pairs.select(F.monotonically_increasing_id().alias("row"), "latin", "native").select("row", F.explode("latin").alias("l"), "native").select("row", "l", F.explode("native").alias("n"))
     rows = rows.groupBy("row", "l", "n").agg(F.count("*").alias("c"))
-    if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        rows = rows.checkpoint()
+    rows = written(rows, "aligned")
     t = rows.select("l", "n").distinct().withColumn("p", F.lit(1.0))
     for _ in range(rounds):
         e = rows.join(t, ["l", "n"]).withColumn("share", F.col("c") * F.col("p") / F.sum(F.col("p")).over(Window.partitionBy("row", "n")))
         got = e.groupBy("l", "n").agg(F.sum("share").alias("s"))
-        t = got.select("l", "n", (F.col("s") / F.sum("s").over(Window.partitionBy("l"))).alias("p"))
-        if t.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            t = t.checkpoint()
+        t = written(got.select("l", "n", (F.col("s") / F.sum("s").over(Window.partitionBy("l"))).alias("p")), "model")
     return t

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.session import written
+
 #: Defaults of retrieval.
 TOP_K, MIN_DF, MAX_DF, POSTING_DF = 50, 2, 0.01, 200
 WORD = r"[\p{L}\p{N}]{2,}"
@@ -17,12 +19,10 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return ranked.withColumn(rank, F.col(rank).cast("long"))
 
 
-def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term and tf. Counted within each row, so nothing is shuffled."""
-    words = F.sort_array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0))
-    split = df.select(F.col(key).alias("_k"), words.alias("_w"))
-    counted = split.select("_k", F.explode("_w").alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf"))
-    return counted.withColumnRenamed("_k", key)
+def term_counts(df: DataFrame, key: str, text: Column, *more: str) -> DataFrame:
+    """key, the columns of more (that the key decides), term and tf."""
+    split = df.select(F.col(key).alias("_k"), *more, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)).alias("term"))
+    return split.groupBy("_k", *more, "term").agg(F.count("*").alias("tf")).withColumnRenamed("_k", key)
 
 
 def tfidf_index(docs: DataFrame, key: str, text: Column, min_df: int = MIN_DF, max_df: float = MAX_DF, least_max_df: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -31,27 +31,34 @@ def tfidf_index(docs: DataFrame, key: str, text: Column, min_df: int = MIN_DF, m
     Terms stay from min_df up to the greater of max_df * rows and least_max_df rows: a share alone would empty the vocabulary of
     a small table, and the bound on document frequency is what bounds the join of `tfidf_topk`.
     """
-    tf = term_counts(docs, key, text)
-    size = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # one row
-    vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(max_df * F.col("n"), F.lit(least_max_df))))
-    vocabulary = vocabulary.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = written(term_counts(docs, key, text), "terms")
+    vocabulary = _vocabulary(tf, docs.count(), min_df, max_df, least_max_df)
     return weigh(tf, key, vocabulary), vocabulary
 
 
-def weigh(tf: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Sublinear tf times idf, of unit length over the vocabulary's terms."""
-    raw = tf.join(vocabulary, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("w"))
+def _vocabulary(tf: DataFrame, n: int, min_df: int, max_df: float, least_max_df: int) -> DataFrame:
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max(max_df * n, least_max_df)))
+    return df.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weigh(tf: DataFrame, key: str, vocabulary: DataFrame, *more: str) -> DataFrame:
+    """Sublinear tf times idf, of unit length over the vocabulary's terms. A key's terms are bounded by its text."""
+    raw = tf.join(vocabulary.select("term", "idf"), "term").select(key, *more, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, *more))))
 
 
 def tfidf_topk(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, doc_key: str, doc_text: Column, k: int = TOP_K, min_df: int = MIN_DF, max_df: float = MAX_DF, least_max_df: int = 10) -> DataFrame:
-    """query, doc, score and rank: the k documents of highest cosine above 0 for each query; of equals the least id."""
-    weights, vocabulary = tfidf_index(docs, doc_key, doc_text, min_df, max_df, least_max_df)
-    q = weigh(term_counts(queries, query_key, query_text), query_key, vocabulary)
-    both = q.select(F.col(query_key).alias("query_id"), "term", F.col("w").alias("wq")).join(weights.select(F.col(doc_key).alias("cand_id"), "term", "w"), "term")
-    scored = both.groupBy("query_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 9).alias("score")).where("score > 0")
+    """query, doc, score and rank: the k documents of highest cosine above 0 for each query; of equals the least id.
+
+    Both sides are tokenised in one pass, and their weights are written once.
+    """
+    both = queries.select(F.col(query_key).alias("id"), F.lit(0).alias("side"), query_text.alias("text")).unionByName(docs.select(F.col(doc_key).alias("id"), F.lit(1).alias("side"), doc_text.alias("text")))
+    tf = written(term_counts(both, "id", F.col("text"), "side"), "terms")
+    vocabulary = _vocabulary(tf.where("side = 1"), docs.count(), min_df, max_df, least_max_df)
+    weights = written(weigh(tf, "id", vocabulary, "side"), "weights")
+    q = weights.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
+    d = weights.where("side = 1").select(F.col("id").alias("cand_id"), "term", "w")
+    scored = q.join(d, "term").groupBy("query_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 9).alias("score")).where("score > 0")
     return top(scored, ["query_id"], [F.desc("score"), F.asc("cand_id")], k)
 
 

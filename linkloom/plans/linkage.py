@@ -1,6 +1,6 @@
 """Linkage queries over the driver tables, each with the SQL that says the same.
 
-`records` reads documents as linkage records: three sources by id, the first words as a name, the next as an address.
+`records` reads documents as linkage records: three sources by id, the first six words as a name, all others as an address.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity as S
 from linkloom.functions import text as T
 from linkloom.operators import decide, fusion, learn, metrics, mining, retrieval, validate
-from linkloom.session import ship
+from linkloom.session import ship, written
 from linkloom.sources.tables import parse_ids
 
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -40,12 +40,12 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     df = docs.select((1 + F.col("doc_id") % 3).cast("int").alias("source"), "doc_id", F.coalesce("lang", F.lit("")).alias("country"), t.alias("t"), F.md5(F.lower(F.coalesce("text", F.lit("")))).alias("digest"))
     return df.select(
         F.concat(F.lit("S"), "source", F.lit("-"), "doc_id").alias("id"), "source", "country",
-        F.array_join(F.slice("t", 1, 6), " ").alias("name"), F.array_join(F.slice("t", 7, 12), " ").alias("address"), "digest",
+        F.array_join(F.slice("t", 1, 6), " ").alias("name"), F.array_join(F.slice("t", F.lit(7), F.greatest(F.size("t") - 6, F.lit(0))), " ").alias("address"), "digest",
     )
 
 
 REC = r"""rec AS (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS id, CAST(1 + doc_id % 3 AS INTEGER) AS source, coalesce(lang, '') AS country,
- array_to_string(t[1:6], ' ') AS name, array_to_string(t[7:18], ' ') AS address, md5(lower(coalesce(text, ''))) AS digest FROM
+ array_to_string(t[1:6], ' ') AS name, array_to_string(t[7:], ' ') AS address, md5(lower(coalesce(text, ''))) AS digest FROM
  (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents))"""
 
 
@@ -60,7 +60,7 @@ def text():
     return F.concat_ws(" ", "name", "address")
 
 
-K = 10
+K = retrieval.TOP_K
 
 
 def weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +79,7 @@ TFIDF = r"""tok AS (SELECT id, source, unnest(regexp_extract_all(lower(name || '
  raw AS (SELECT id, source, term, (1 + ln(tf)) * idf AS w FROM tf JOIN voc USING (term)),
  wts AS (SELECT id, source, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
  sc AS (SELECT q.id AS query_id, d.id AS cand_id, round(sum(q.w * d.w), 9) AS score FROM wts q JOIN wts d ON q.term = d.term AND q.source = 1 AND d.source > 1 GROUP BY ALL),
- top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10)"""
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 50)"""
 
 
 @query(f"WITH {REC}, {TFIDF} SELECT term, df, round(idf, 6) AS idf FROM voc")
@@ -153,29 +153,44 @@ def serialize_record(spark, sf):
     return records(spark, sf).select("id", T.serialize(name="name", address="address", country="country").alias("record"))
 
 
-@query("SELECT event_id, regexp_replace(props, '\\b([0-9]{5,6})\\b', '[ZIP] \\1 [/ZIP]', 'g') AS tagged FROM (SELECT event_id, 'id ' || event_id || ' user ' || (user_id * 1000 + 10000) AS props FROM events) WHERE event_id >= 10000000 OR event_id < 0 UNION ALL SELECT event_id, 'id [NUM] ' || event_id || ' [/NUM] user [ZIP] ' || (user_id + 10000) || ' [/ZIP]' FROM events WHERE event_id < 10000 AND user_id < 900000")
+@query()
 def span_tags(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 10000 AND event_id >= 0 AND user_id < 900000")
-    return rows.select("event_id", T.tag_numbers(F.concat(F.lit("id "), "event_id", F.lit(" user "), F.col("user_id") + 10000)).alias("tagged"))
+    """The numbers of every event's own text."""
+    return table(spark, sf, "events").select("event_id", T.tag_numbers("props").alias("tagged"))
 
 
-@query()
-def span_tags_props(spark, sf):
-    """The numbers of every event's own text, with no bound on ids or users."""
-    return table(spark, sf, "events").select("event_id", T.tag_numbers("props").alias("tagged"))
+_ADDRESS = "lower(doc_id || '/' || source || ' ' || name || ', ' || address || ', ' || country)"
+_PLAIN = "trim(regexp_replace(strip_accents({0}), '\\s+', ' ', 'g'))"
+
+
+def _alias(c: str) -> str:
+    known = _map(T.ALIASES)
+    return f"coalesce({known}[{c}], {known}[{_PLAIN.format(c)}], nullif({_PLAIN.format(c)}, ''), {c}, '')"
+
+
+def _street(c: str, more: str = "") -> str:
+    return f"list_filter(list_transform(regexp_extract_all({c}, '[a-z0-9]+'), lambda x: coalesce({_map(T.FRENCH_STREETS)}[x], x)), lambda x: length(x) >= 3 AND x NOT IN ({_in(T.STREET_STOPWORDS)}){more})[1]"
 
 
 @query(
-    f"WITH {REC}, a AS (SELECT id, string_split(name || ', ' || country || ', ' || source, ',') AS p FROM rec), b AS (SELECT id, list_filter(list_transform(p, lambda x: trim(lower(x))), lambda x: x <> '') AS p FROM a)"
-    " SELECT id, CASE WHEN len(p) >= 2 THEN p[len(p) - 1] ELSE '' END AS city, CASE WHEN len(p) >= 1 THEN p[len(p)] ELSE '' END AS state FROM b"
+    f"WITH {REC}, a AS (SELECT id, {_ADDRESS.replace('doc_id', 'substr(id, 4)')} AS t FROM rec), b AS (SELECT id, t, list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> '') AS p, regexp_extract(t, '{T.NUMBER}') AS h FROM a)"
+    f" SELECT id, CASE WHEN h <> '' AND ltrim(h, '0') = '' THEN '0' ELSE ltrim(h, '0') END AS house, coalesce({_street('substr(t, strpos(t, h) + length(h))')}, {_street('p[1]', ' AND NOT regexp_full_match(x, $$[0-9]+$$)')}, '') AS street_core,"
+    f" {_alias('p[len(p) - 1]')} AS city, {_alias('p[len(p)]')} AS state FROM b"
 )
 def address_parse(spark, sf):
-    a = T.parse_address(F.concat_ws(", ", "name", "country", F.col("source").cast("string")))
-    return records(spark, sf).select("id", a["city"].alias("city"), a["state"].alias("state"))
+    """House, street, city and state of each record's number, name, address and country as one address."""
+    a = T.parse_address(F.concat(F.substr("id", F.lit(4)), F.lit("/"), "source", F.lit(" "), "name", F.lit(", "), "address", F.lit(", "), "country"))
+    return records(spark, sf).select("id", a.alias("a")).select("id", "a.*")
+
+
+@query(f"WITH {REC}, n AS (SELECT n_nationkey, lower(trim(CASE n_nationkey % 5 WHEN 0 THEN 'Bombay ' WHEN 1 THEN 'NEW DELHI' WHEN 2 THEN 'mh' WHEN 3 THEN '' ELSE n_name END)) AS k FROM nation) SELECT n_nationkey, {_alias('k')} AS alias FROM n")
+def alias_lookup(spark, sf):
+    place = F.expr("CASE n_nationkey % 5 WHEN 0 THEN 'Bombay ' WHEN 1 THEN 'NEW DELHI' WHEN 2 THEN 'mh' WHEN 3 THEN '' ELSE n_name END")
+    return table(spark, sf, "nation").select("n_nationkey", T.alias_lookup(place).alias("alias"))
 
 
 @query(
-    f"WITH {REC}, t AS (SELECT id, name, {_TOK.format('name')} AS ev, {_CONTENT.format('name')} AS own FROM rec) SELECT id, len(own) = len(ev) AND len(own) BETWEEN 1 AND 2 AND len(list_filter(own, lambda x: NOT regexp_full_match(x, '[a-z]{{4,16}}'))) = 0"
+    f"WITH {REC}, t AS (SELECT id, name, {_TOK.format('name')} AS ev, {_CONTENT.format('name')} AS own FROM rec) SELECT id, len(list_filter(ev, lambda x: x IN ({_in(T.LEGAL)}))) = 0 AND len(own) BETWEEN 1 AND 2 AND len(list_filter(own, lambda x: NOT regexp_full_match(x, '[a-z]{{4,16}}'))) = 0"
     r" AND NOT regexp_matches(replace(lower(name), ' ', ''), '[a-z0-9][a-z0-9.-]*\.(com|in|net|org|co|biz|info|fr)(\b|/|$)') AND NOT regexp_matches(name, '[\x{0900}-\x{0D7F}]') AS nonce FROM t"
 )
 def nonce_flag(spark, sf):
@@ -192,15 +207,8 @@ def clean_romanize(spark, sf):
     return records(spark, sf).select("id", T.clean("name").alias("name"), T.romanize(T.clean("name")).alias("name_roman"), T.transliterate("name").alias("translit"))
 
 
-@query(f"WITH {REC} SELECT id, trim(regexp_replace(strip_accents(name), '\\s+', ' ', 'g')) AS plain FROM rec WHERE NOT regexp_matches(name, '[^\\x{{00}}-\\x{{17F}}]') AND NOT regexp_matches(name, '[ªº²³¹¼½¾´¨¸¯µ]')")
-def strip_diacritics(spark, sf):
-    rows = records(spark, sf).where(~F.col("name").rlike(r"[^\x{00}-\x{17F}]") & ~F.col("name").rlike("[ªº²³¹¼½¾´¨¸¯µ]"))
-    return rows.select("id", F.trim(F.regexp_replace(T.strip_marks("name"), r"\s+", " ")).alias("plain"))
-
-
 @query()
-def strip_diacritics_all(spark, sf):
-    """strip_diacritics of every name, in any script."""
+def strip_diacritics(spark, sf):
     return records(spark, sf).select("id", F.trim(F.regexp_replace(T.strip_marks("name"), r"\s+", " ")).alias("plain"))
 
 
@@ -248,15 +256,8 @@ def levenshtein_band(spark, sf):
     return both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), S.edit_distance(F.col("a.p_type"), F.col("b.p_type"), 4).cast("long").alias("distance"))
 
 
-@query(f"{_LINK} SELECT s1_id, c_id, round(jaro_winkler_similarity(s1_name, c_name), 6) AS jw FROM prs WHERE NOT regexp_matches(s1_name || c_name, '[^\\x{{20}}-\\x{{7E}}]')")
-def jaro_winkler(spark, sf):
-    rows = pairs(spark, sf).where(~F.concat("s1_name", "c_name").rlike(r"[^\x20-\x7E]"))
-    return rows.select("s1_id", "c_id", F.round(S.jaro_winkler("s1_name", "c_name"), 6).alias("jw"))
-
-
 @query()
-def jaro_winkler_all(spark, sf):
-    """jaro_winkler of every pair, in any script."""
+def jaro_winkler(spark, sf):
     return pairs(spark, sf).select("s1_id", "c_id", F.round(S.jaro_winkler("s1_name", "c_name"), 6).alias("jw"))
 
 
@@ -303,20 +304,16 @@ def list_relative(spark, sf):
 # -- retrieval and fusion ----------------------------------------------------------------------------------------------
 
 
-def first_token(c):
-    return T.content_tokens(c)
-
-
 @query(
     f"WITH {REC}, q AS (SELECT id, u.tok AS k, u.pos AS pos FROM (SELECT id, {_CONTENT.format('name')} AS ts FROM rec WHERE source = 1), LATERAL (SELECT unnest(ts) AS tok, unnest(range(len(ts))) AS pos) u),"
-    f" d AS (SELECT DISTINCT id, unnest({_CONTENT.format('name')}) AS k FROM rec WHERE source > 1), ok AS (SELECT k FROM d GROUP BY k HAVING count(*) <= 20),"
+    f" d AS (SELECT DISTINCT id, unnest({_CONTENT.format('name')}) AS k FROM rec WHERE source > 1), ok AS (SELECT k FROM d GROUP BY k HAVING count(*) <= 200),"
     " h AS (SELECT q.id AS query_id, d.id AS cand_id, min(pos) AS key_pos FROM q JOIN d USING (k) JOIN ok USING (k) GROUP BY ALL)"
-    " SELECT query_id, cand_id, key_pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key_pos, cand_id) AS rank FROM h) WHERE rank <= 5"
+    " SELECT query_id, cand_id, key_pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key_pos, cand_id) AS rank FROM h) WHERE rank <= 50"
 )
 def postings_union(spark, sf):
     rec = records(spark, sf)
     keys = T.content_tokens("name")
-    out = retrieval.postings_topk(rec.where("source = 1"), "id", keys, rec.where("source > 1"), "id", keys, 5, 20)
+    out = retrieval.postings_topk(rec.where("source = 1"), "id", keys, rec.where("source > 1"), "id", keys, retrieval.TOP_K)
     return out.withColumn("key_pos", F.col("key_pos").cast("long"))
 
 
@@ -383,7 +380,7 @@ def reverse_lookup(spark, sf):
 
 
 def scored(spark, sf):
-    c = candidates(spark, sf)
+    c = written(candidates(spark, sf), "candidates")
     return c.select(F.col("query_id").alias("s1_id"), "cand_id", F.substr("cand_id", F.lit(2), F.lit(1)).cast("int").alias("source"), F.col("score").alias("p"))
 
 
@@ -430,8 +427,8 @@ def unique_mapping(spark, sf):
     return decide.unique_mapping(scored(spark, sf)).select("s1_id", "cand_id")
 
 
-def assigned(spark, sf):
-    return decide.unique_mapping(decide.pack(scored(spark, sf)).where(decide.keep(RULE)))
+def assigned(spark, sf, pairs: DataFrame | None = None):
+    return decide.unique_mapping(decide.pack(scored(spark, sf) if pairs is None else pairs).where(decide.keep(RULE)))
 
 
 def entity_table(spark, sf):
@@ -481,7 +478,8 @@ def error_ledger(spark, sf):
     " UNION ALL SELECT g.s1_id, g.cand_id, CASE WHEN s.cand_id IS NULL THEN 'blocking_miss' ELSE 'false_negative' END, s.cand_id IS NOT NULL FROM gold g ANTI JOIN won USING (s1_id, cand_id) LEFT JOIN scd s ON s.s1_id = g.s1_id AND s.cand_id = g.cand_id) SELECT * FROM er"
 )
 def typed_errors(spark, sf):
-    return metrics.typed_errors(assigned(spark, sf), truth(records(spark, sf)), scored(spark, sf))
+    own = scored(spark, sf)
+    return metrics.typed_errors(assigned(spark, sf, own), written(truth(records(spark, sf)), "gold"), own)
 
 
 @query(f"{_WON} SELECT country, count(*) AS entities, round(avg((coalesce(n, 0) = 0)::INT::DOUBLE), 6) AS singleton_rate, round(avg(coalesce(n, 0)), 6) AS mean_list FROM rec LEFT JOIN (SELECT s1_id, count(*) AS n FROM won GROUP BY 1) x ON x.s1_id = id WHERE source = 1 GROUP BY country")
@@ -604,7 +602,8 @@ def validate_lists(spark, sf):
 @query(f"{_WON}, m AS (SELECT s1_id, cand_id FROM won UNION ALL SELECT id, 'S2-1' FROM rec WHERE source = 1 AND CAST(substr(id, 4) AS BIGINT) % 23 = 0) SELECT s1_id, cand_id FROM m ANTI JOIN scd USING (s1_id, cand_id)")
 def matches_subset(spark, sf):
     more = records(spark, sf).where("source = 1 AND CAST(substr(id, 4) AS BIGINT) % 23 = 0").select(F.col("id").alias("s1_id"), F.lit("S2-1").alias("cand_id"))
-    return validate.not_candidates(assigned(spark, sf).select("s1_id", "cand_id").unionByName(more), scored(spark, sf))
+    own = scored(spark, sf)
+    return validate.not_candidates(assigned(spark, sf, own).select("s1_id", "cand_id").unionByName(more), own)
 
 
 @query("SELECT doc_id, CASE WHEN quality = 0 THEN 0.25::DOUBLE ELSE 0.5 + toxic * 0.25 END AS score FROM labels")

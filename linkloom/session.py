@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +30,21 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet below the folder that spark.checkpoint.dir names and read again: what comes later starts from files that outlive executors.
+
+    Only in local mode, where one machine is all, a temp folder does where none is named.
+    """
+    spark = ship(df.sparkSession)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="linkloom-")
+        atexit.register(shutil.rmtree, named[7:], True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -73,17 +73,15 @@ def write_pairs(pairs: DataFrame, path: str, by: str = "split") -> None:
 
 
 def score_shards(pairs: DataFrame, path: str, score, shards: int = 16) -> DataFrame:
-    """Scores pairs shard by shard of their entity, and leaves out shards that a run before has finished."""
+    """Scores pairs shard by shard of their entity. A shard's folder is marked when it is whole: a run leaves out those that are, and writes others anew."""
     spark = pairs.sparkSession
     pairs = pairs.withColumn("shard", F.pmod(F.xxhash64("s1_id"), F.lit(shards)).cast("int"))
-    try:
-        done = [r[0] for r in spark.read.parquet(path).select("shard").distinct().collect()]  # at most `shards`
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = []
-    left = pairs.where(~F.col("shard").isin(done)) if done else pairs
-    score(left).write.mode("append").partitionBy("shard").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for k in range(shards):
+        folder = f"{path}/shard={k}"
+        mark = hadoop.Path(f"{folder}/_SUCCESS")  # the committer's last file
+        if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            score(pairs.where(F.col("shard") == k)).drop("shard").write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
     return spark.read.parquet(path)
 
 

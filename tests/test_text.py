@@ -59,3 +59,12 @@ def test_similarity():
 def test_jaccard(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], [])], "x array<string>, y array<string>")
     assert [round(r[0], 4) for r in df.select(S.jaccard(F.col("x"), F.col("y"))).collect()] == [0.3333, 1.0, 0.0]
+
+
+def test_wrong_before(spark):
+    assert values(spark, ["கோ", "007a", "007", "কো"], T.normalize("s")) == ["ko", "007a", "7", "ko"]
+    assert values(spark, ["12/4 main", "12-4 x 560001", "560001 12", "a 7"], T.tag_numbers("s")) == ["[NUM] 12/4 [/NUM] main", "[NUM] 12-4 [/NUM] x [ZIP] 560001 [/ZIP]", "[ZIP] 560001 [/ZIP] 12", "a [NUM] 7 [/NUM]"]
+    assert values(spark, ["a zenith", "the zenith", "zenith"], T.is_nonce("s")) == [True, False, True]
+    got = values(spark, ["flat rose 12 hill road, poona, mh", "rose lane, x"], T.parse_address("s"))
+    assert [tuple(r) for r in got] == [("12", "hill", "pune", "maharashtra"), ("", "rose", "rose lane", "x")]
+    assert values(spark, [" Bombay", "Ünknown", None, "..."], T.alias_lookup("s")) == ["mumbai", "unknown", "", "..."]
