@@ -27,7 +27,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +91,7 @@ class Index:
         self.run_most = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
         self.term_at = np.searchsorted(term[at], np.arange(len(self.term) + 1))
         self.blocks = max(1, -(-n // BLOCK))
-        self.slot = self.number % BLOCK
+        self.slot = (self.number % BLOCK).astype(np.uint8)
         self.copy_in = np.r_[self.copy_of, np.full(self.blocks * BLOCK - n, -2)].reshape(-1, BLOCK)
         self.prior = float((self.toxic.sum() + 0.5) / (n + 1)) if n else 0.0
         self.curve = (1.0, 0.0)
@@ -155,7 +155,7 @@ class Index:
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         return tuple(a[rank < k] for a in (who, number, cos))
 
-    def shares(self, texts: list[tuple[list[str], int]]) -> list[tuple[float, list[int]] | None]:
+    def shares(self, texts: Iterable[tuple[list[str], int]]) -> list[tuple[float, list[int]] | None]:
         """(share of toxic votes, evidence) of each text (words, the text whose copies don't count or -1); None without a known word."""
         out: list[tuple[float, list[int]] | None] = []
         parts, size, held = [], 0, []
@@ -206,7 +206,7 @@ class Index:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = dict(zip(keys, texts))
-        for k, found in zip(new, self.shares([(words_of(t), -1) for t in new.values()])):
+        for k, found in zip(new, self.shares((words_of(t), -1) for t in new.values())):
             known[k] = (self.prior if len(self.ids) else 0.0, []) if found is None else (self.calibrated(found[0]), found[1])
         return [known[k] for k in keys]
 
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
     def alone(batches):
         index = shared.value
         for batch in batches:
-            texts = [(words_of(t), index.copies[d]) for t, d in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            texts = ((words_of(t), index.copies[d]) for t, d in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()))
             found = index.shares(texts)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] if f else None for f in found], pa.float64()), pa.array(batch.column(2).to_pylist(), pa.int32())], ["p", "y"])
 
