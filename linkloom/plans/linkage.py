@@ -30,7 +30,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A table; documents that come in fewer splits than there are cores, as from one small file, are dealt out to all of them."""
+    df = ship(spark).read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
