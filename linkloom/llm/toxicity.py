@@ -3,10 +3,11 @@
 The labelled examples are a bounded sample of documents (LEARN_ROWS by a hash of id and text; a documented bound); all their words are
 terms, weighted by 1 + ln(count) and by idf over the examples, each example a unit vector. A text is searched in passages: its
 distinct words in the order in which they come first, PASSAGE at a time to its end, each with its count in the whole text. A few
-words decide, and in one vector of a long text they would drown. The index keeps each term's postings in blocks of BLOCK
-example numbers with the block's largest weight; examples of one language stand together, those of few words and so of large weights first. A
-passage's blocks of highest bound are added up first; of the others only those whose bound reaches the NEIGHBOURS-th best
-cosine found so far, so the nearest are exact. Many passages are searched at once with numpy.
+words decide, and in one vector of a long text they would drown. The index keeps the postings of rare terms, and for frequent terms
+rows of weights in blocks of BLOCK example numbers with each block's largest weight; examples of one language stand together, those of few
+words and so of large weights first. A passage's rare terms are added up first; a block's bound is its best sum so far and the frequent
+terms' largest weights there, and the frequent terms are added from the first to the last block whose bound reaches the
+NEIGHBOURS-th best sum so far, so the nearest are exact. Many passages are searched at once with numpy.
 Votes weighted by cosine give a passage's share of toxic neighbours, the mean of a text's two highest shares is the text's, and a
 logistic curve fitted on the examples themselves, each searched without itself and its copies, calibrates it. Evidence: the
 nearest examples of the passage of highest share. Texts without any word of the examples get the share of toxic examples.
@@ -28,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ LEARN_ROWS = 3_000
 PASSAGE = 8
 NEIGHBOURS = 25
 BLOCK = 64
-#: Blocks of a passage that are added up before the others are compared with their bounds.
-FIRST = 8
+#: Terms in more than one of so many examples are kept as whole rows of weights.
+OFTEN = 40
+#: Examples in a part, of whose largest cosines the k-th is a bound for the k-th best.
+PARTED = 16
 #: Weight of the prior among the votes, as of a cosine.
 PRIOR = 0.1
 #: Passages that are searched at once.
@@ -84,14 +88,16 @@ class Index:
         by = np.lexsort((number, term))
         self.number, self.weight = number[by].astype(np.int32), weight[by]
         term = term[by]
-        # a run: the postings of a term in a block
-        block = self.number // BLOCK
-        at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, np.int64)
-        self.run_at, self.run_block = np.r_[at, len(term)], block[at].astype(np.int64)
-        self.run_most = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
-        self.term_at = np.searchsorted(term[at], np.arange(len(self.term) + 1))
         self.blocks = max(1, -(-n // BLOCK))
-        self.slot = (self.number % BLOCK).astype(np.uint8)
+        self.at = np.searchsorted(term, np.arange(len(self.term) + 1))
+        # the frequent terms' postings as whole rows of weights, and the largest weight in each block of a row
+        often = np.flatnonzero(np.diff(self.at) > max(1, n // OFTEN))
+        self.row = np.full(len(self.term), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        mine = self.row[term]
+        self.rows[mine[mine >= 0], self.number[mine >= 0]] = self.weight[mine >= 0]
+        self.most = self.rows.reshape(len(often), self.blocks, BLOCK).max(axis=2)
         self.copy_in = np.r_[self.copy_of, np.full(self.blocks * BLOCK - n, -2)].reshape(-1, BLOCK)
         self.prior = float((self.toxic.sum() + 0.5) / (n + 1)) if n else 0.0
         self.curve = (1.0, 0.0)
@@ -99,7 +105,7 @@ class Index:
     def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, term, weight) of a text's known words; the weights of a passage form a unit vector. Unknown words take their places, too."""
         counts = Counter(words)
-        term = np.fromiter((self.term.get(w, -1) for w in counts), np.int64, len(counts))
+        term = np.fromiter(map(self.term.get, counts, repeat(-1)), np.int64, len(counts))
         known = np.flatnonzero(term >= 0)
         who, term = known // PASSAGE, term[known]
         x = (1 + np.log(np.fromiter(counts.values(), np.int64, len(counts))[known])) * self.idf[term]
@@ -110,51 +116,47 @@ class Index:
 
         but: for each query the text (an entry of copy_of) whose copies don't count, or -1.
         """
-        size = self.term_at[term + 1] - self.term_at[term]
-        run = _ranges(self.term_at[term], size)
-        q, x, block = np.repeat(who, size), np.repeat(x, size), self.run_block[run]
-        cell = q * self.blocks + block
-        bound = np.bincount(cell, x * self.run_most[run], n * self.blocks).reshape(n, self.blocks)
-        first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        first &= bound > 0
-
-        def cosines(take: np.ndarray, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """(query, number, cosine) of the examples in the blocks to take that reach least, by default the k-th best of the query's; and that."""
-            pair_q, pair_block = np.nonzero(take)
-            place = np.zeros(take.shape, np.int64)
-            place[pair_q, pair_block] = np.arange(len(pair_q)) * BLOCK
-            mine = np.flatnonzero(take.ravel()[cell])
-            r = run[mine]
-            length = self.run_at[r + 1] - self.run_at[r]
-            of = np.repeat(np.arange(len(r)), length)
-            start = np.cumsum(length) - length
-            post = np.arange(len(of)) + (self.run_at[r] - start)[of]
-            key = place.ravel()[cell[mine]][of]
-            key += self.slot[post]
-            dense = np.bincount(key, x[mine][of] * self.weight[post], len(pair_q) * BLOCK).reshape(-1, BLOCK)
-            if but is not None:
-                dense[self.copy_in[pair_block] == but[pair_q][:, None]] = 0
-            if least is None:
-                wide = np.zeros((n, FIRST * BLOCK))
-                nth = np.arange(len(pair_q)) - np.searchsorted(pair_q, pair_q)
-                wide.reshape(n, FIRST, BLOCK)[pair_q, nth] = dense
-                least = np.partition(wide, -k, axis=1)[:, -k]
-            # no cosine that isn't 0 is so small
-            hit = np.flatnonzero(dense >= np.maximum(least, 1e-300)[pair_q][:, None])
-            pair = hit // BLOCK
-            return pair_q[pair], pair_block[pair] * BLOCK + hit % BLOCK, dense.ravel()[hit], least
-
-        who, number, cos, least = cosines(first, None)
-        rest = ~first & (bound > 0) & (bound >= least[:, None] - 1e-12)
-        if rest.any():
-            more = cosines(rest, least)
-            who, number, cos = (np.r_[a, b] for a, b in zip((who, number, cos), more))
+        row, width = self.row[term], self.blocks * BLOCK
+        # the rare terms, posting by posting
+        mine = np.flatnonzero(row < 0)
+        size = self.at[term[mine] + 1] - self.at[term[mine]]
+        post, of = _ranges(self.at[term[mine]], size), np.repeat(mine, size)
+        dense = np.bincount((who * width)[of] + self.number[post], x[of] * self.weight[post], n * width).reshape(n, width).astype(float, copy=False)
+        # the frequent terms, in the blocks from the first to the last whose bound reaches the k-th best so far
+        often = np.flatnonzero(row >= 0)
+        if len(often):
+            row, much, of = row[often], x[often], who[often]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            some, low = of[start], self._low(dense, k, but)[0]
+            bound = dense.reshape(n, self.blocks, BLOCK).max(axis=2)[some] + np.add.reduceat(much[:, None] * self.most[row], start)
+            able = bound >= low[some, None] - 1e-12
+            a, b = able.argmax(axis=1) * BLOCK, width - able[:, ::-1].argmax(axis=1) * BLOCK
+            each = np.diff(np.r_[start, len(of)])
+            more = np.empty(width)
+            for q, r, v, i, j in zip(of.tolist(), row.tolist(), much.tolist(), np.repeat(a, each).tolist(), np.repeat(b, each).tolist()):
+                dense[q, i:j] += np.multiply(self.rows[r, i:j], v, out=more[: j - i])
+        low, most = self._low(dense, k, but)
+        low = np.maximum(low, 1e-300)
+        # no cosine that isn't 0 is so small
+        who, part = np.nonzero(most >= low[:, None])
+        cos = dense.reshape(n, PARTED, -1)[who, :, part]
+        at, turn = np.nonzero(cos >= low[who, None])
+        who, number, cos = who[at], turn * (width // PARTED) + part[at], cos[at, turn]
+        if but is not None:
+            other = self.copy_in.ravel()[number] != but[who]
+            who, number, cos = who[other], number[other], cos[other]
         by = np.lexsort((number, -cos, who))
         who, number, cos = who[by], number[by], cos[by]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         return tuple(a[rank < k] for a in (who, number, cos))
 
+    def _low(self, dense: np.ndarray, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(a number for each query that its k-th best isn't below, the largest cosine in each part): the k-th largest of the parts' largest."""
+        if but is not None:
+            dense = np.where(self.copy_in.ravel() == but[:, None], 0, dense)
+        most = dense.reshape(len(dense), PARTED, -1).max(axis=1)
+        return np.partition(most, -k, axis=1)[:, -k] if k <= most.shape[1] else np.zeros(len(dense)), most
+
     def shares(self, texts: Iterable[tuple[list[str], int]]) -> list[tuple[float, list[int]] | None]:
         """(share of toxic votes, evidence) of each text (words, the text whose copies don't count or -1); None without a known word."""
         out: list[tuple[float, list[int]] | None] = []
