@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import root_buckets, shared_dir, table
-from linkloom.llm.shared_files import mapped, save
+from linkloom.shared_files import mapped, save
 
 #: Tokens that a task gathers before it sends their counts.
 FLUSH = 2_000_000

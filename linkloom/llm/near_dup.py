@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import root_buckets, shared_dir, table, written
 from linkloom.llm.components import components
-from linkloom.llm.shared_files import mapped, save
+from linkloom.shared_files import mapped, save
 
 BANDS, ROWS = 40, 5
 #: Percent of the union that two sets must share.

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators import sparse
 from linkloom.session import written
 
 #: Defaults of retrieval.
@@ -29,7 +30,7 @@ def tfidf_index(docs: DataFrame, key: str, text: Column, min_df: int = MIN_DF, m
     """(weights: key, term, w; vocabulary: term, df, idf) of the searched side.
 
     Terms stay from min_df up to the greater of max_df * rows and least_max_df rows: a share alone would empty the vocabulary of
-    a small table, and the bound on document frequency is what bounds the join of `tfidf_topk`.
+    a small table, and the bound on document frequency is what bounds the postings of `tfidf_topk`.
     """
     tf = written(term_counts(docs, key, text), "terms")
     vocabulary = _vocabulary(tf, docs.count(), min_df, max_df, least_max_df)
@@ -48,18 +49,12 @@ def weigh(tf: DataFrame, key: str, vocabulary: DataFrame, *more: str) -> DataFra
 
 
 def tfidf_topk(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, doc_key: str, doc_text: Column, k: int = TOP_K, min_df: int = MIN_DF, max_df: float = MAX_DF, least_max_df: int = 10) -> DataFrame:
-    """query, doc, score and rank: the k documents of highest cosine above 0 for each query; of equals the least id.
+    """query_id, cand_id, score and rank: the k documents of highest cosine above 0 for each query; of equals the least id.
 
-    Both sides are tokenised in one pass, and their weights are written once.
+    Weights are those of `tfidf_index`. Pairs are never rows: tasks add up their scores over an inverted index.
     """
-    both = queries.select(F.col(query_key).alias("id"), F.lit(0).alias("side"), query_text.alias("text")).unionByName(docs.select(F.col(doc_key).alias("id"), F.lit(1).alias("side"), doc_text.alias("text")))
-    tf = written(term_counts(both, "id", F.col("text"), "side"), "terms")
-    vocabulary = _vocabulary(tf.where("side = 1"), docs.count(), min_df, max_df, least_max_df)
-    weights = written(weigh(tf, "id", vocabulary, "side"), "weights")
-    q = weights.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
-    d = weights.where("side = 1").select(F.col("id").alias("cand_id"), "term", "w")
-    scored = q.join(d, "term").groupBy("query_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 9).alias("score")).where("score > 0")
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("cand_id")], k)
+    side = lambda df, key, text: df.select(F.col(key).alias("id"), text.alias("text"))
+    return sparse.topk(side(queries, query_key, query_text), side(docs, doc_key, doc_text), WORD, k, min_df, max_df, least_max_df)
 
 
 def dense_topk(queries: DataFrame, docs: DataFrame, key: str, vector: str, k: int = TOP_K, block: int = 4096, same: bool = False) -> DataFrame:

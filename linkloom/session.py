@@ -32,12 +32,8 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet below the folder that spark.checkpoint.dir names and read again: what comes later starts from files that outlive executors.
-
-    Only in local mode, where one machine is all, a temp folder does where none is named.
-    """
-    spark = ship(df.sparkSession)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only in local mode, where one machine is all, a temp folder does where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
@@ -45,6 +41,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
         named = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         atexit.register(shutil.rmtree, named[7:], True)
         spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet below the shared folder and read again: what comes later starts from files that outlive executors."""
+    spark = ship(df.sparkSession)
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
