@@ -92,6 +92,68 @@ def dense_topk(queries: DataFrame, docs: DataFrame, key: str, vector: str, k: in
     return top(found, ["query_id"], [F.desc("score"), F.asc("cand_id")], k)
 
 
+def block_jaccard(rows: DataFrame, key: str, text: str, by: list[str], n: int = 3, tile: int = 1024) -> DataFrame:
+    """left, right and jaccard (of character n-grams as `similarity.char_ngrams` has them, six digits) of all pairs of keys left < right that agree in by.
+
+    Blocks are dealt into tiles, and each two tiles of a block meet in a task as one product of their distinct texts' n-grams: equal texts
+    are compared once, whatever a block's size. A null text has a null measure; rows without a key or a block have no pair.
+    """
+    rows = rows.select(*by, F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
+    tiles = rows.groupBy(*by).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    dealt = rows.join(tiles, by).withColumn("_tile", F.pmod(F.xxhash64("_key"), F.col("_tiles")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).drop("_tiles")
+    dealt = dealt.withColumns({"_low": F.least("_tile", "_other"), "_high": F.greatest("_tile", "_other")}).drop("_other")
+
+    def grams(s):
+        s = s.replace(" ", "")
+        return ({s[i : i + n] for i in range(len(s) - n + 1)} if len(s) >= n else {s}) if s else set()
+
+    def met(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        keys, tile, low = table["_key"].combine_chunks(), table["_tile"].to_numpy(), table["_low"][0].as_py()
+        order = pc.array_sort_indices(keys).to_numpy()
+        place = np.empty(len(order), np.int64)  # equal keys share one
+        by_key = keys.take(pa.array(order))
+        place[order] = np.r_[0, np.cumsum(pc.not_equal(by_key[1:], by_key[:-1]).to_numpy(zero_copy_only=False))]
+        coded = table["_text"].combine_chunks().dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy()
+        sets = [grams(s) for s in coded.dictionary.to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        known: dict[str, int] = {}
+        at = np.repeat(np.arange(len(sets)), size)
+        gram = np.array([known.setdefault(g, len(known)) for x in sets for g in x], np.int64)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, len(known), 4096):  # counts stay below 2 ** 24, which floats hold exactly
+            some = (gram >= start) & (gram < start + 4096)
+            has = np.zeros((len(sets), min(4096, len(known) - start)), np.float32)
+            has[at[some], gram[some] - start] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        union = size[:, None] + size - both
+        # half up, as Spark and SQL round; of two empty sets 1
+        share = np.where(union == 0, 1.0, (2_000_000 * both + union) // np.maximum(2 * union, 1) / 1e6)
+        share = np.pad(share, ((0, 1), (0, 1)), constant_values=np.nan)  # code -1
+        if low == table["_high"][0].as_py():
+            i, j = np.triu_indices(len(order), 1)
+            i, j = order[i], order[j]
+        else:
+            a, b = np.flatnonzero(tile == low), np.flatnonzero(tile != low)
+            i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+            swap = place[i] > place[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+        apart = place[i] < place[j]
+        if not apart.all():
+            i, j = i[apart], j[apart]
+        value = share[code[i], code[j]]
+        return pa.table({"left": keys.take(pa.array(i)), "right": keys.take(pa.array(j)), "jaccard": pa.array(value, mask=np.isnan(value))})
+
+    kind = dict(dealt.dtypes)["_key"]
+    return dealt.groupBy(*by, "_low", "_high").applyInArrow(met, f"left {kind}, right {kind}, jaccard double")
+
+
 def postings_topk(queries: DataFrame, query_key: str, keys: Column, docs: DataFrame, doc_key: str, doc_keys: Column, k: int, max_df: int = POSTING_DF) -> DataFrame:
     """Documents that share a key with the query: the first k by (position of the key in the query's list, document).
 

@@ -224,3 +224,28 @@ def test_names_of_any_script(spark, tmp_path):
     got = {(r["s1_id"], r["c_id"]): r["jw"] for r in linkage.QUERIES["jaro_winkler"](spark, str(tmp_path)).collect()}
     assert set(got) == pairs and any(not names[a].isascii() for a, _ in pairs)
     assert all(abs(v - jaro_winkler(names[a], names[b])) < 2e-6 for (a, b), v in got.items())
+
+
+def test_block_jaccard_of_all_pairs_over_tiles(spark):
+    """Equal texts, nulls, short and empty ones, a repeated key and a half to be rounded up, in blocks of one and of many tiles."""
+    rnd = random.Random(5)
+    long = "".join(chr(0x4E00 + i) for i in range(67))  # 65 n-grams, one of 128 in common with the next
+    names = ["", " ", "ab", "a b", "abc", "abcd", None, "Việt Nam", "forest green", "green forest", long, long[-3:] + "".join(chr(0x5E00 + i) for i in range(63))]
+    rows = [(i, rnd.choice(names), "b" if i % 3 else "c", 1) for i in range(60)] + [(7, "abcd", "b", 1), (90, "ab", None, 1), (None, "ab", "b", 1), (91, "alone", "z", 2)]
+    rows += [(100 + i, t, "d", 1) for i, t in enumerate(names)]
+    df = spark.createDataFrame(rows, "k int, t string, x string, y int").repartition(3)
+    p, q = df.alias("p"), df.alias("q")
+    from linkloom.functions import similarity as S
+
+    want = p.join(q, ["x", "y"]).where("p.k < q.k").select(F.col("p.k"), F.col("q.k"), F.round(S.jaccard(S.char_ngrams(F.col("p.t")), S.char_ngrams(F.col("q.t"))), 6))
+    want = Counter(tuple(r) for r in want.collect())
+    assert (110, 111, 0.007813) in want
+    for tile in (4, 1024):
+        got = retrieval.block_jaccard(df, "k", "t", ["x", "y"], tile=tile)
+        assert Counter(tuple(r) for r in got.collect()) == want and [t for _, t in got.dtypes] == ["int", "int", "double"]
+
+
+def test_trigram_jaccard_compares_equal_names_once(spark):
+    """Copies of names made each pair of copies a comparison of its own."""
+    plan = linkage.QUERIES["trigram_jaccard"](spark, SF)._jdf.queryExecution().toString()
+    assert "array_intersect" not in plan and "FlatMapGroupsInArrow" in plan
