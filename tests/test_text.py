@@ -68,3 +68,19 @@ def test_wrong_before(spark):
     got = values(spark, ["flat rose 12 hill road, poona, mh", "rose lane, x"], T.parse_address("s"))
     assert [tuple(r) for r in got] == [("12", "hill", "pune", "maharashtra"), ("", "rose", "rose lane", "x")]
     assert values(spark, [" Bombay", "Ünknown", None, "..."], T.alias_lookup("s")) == ["mumbai", "unknown", "", "..."]
+
+
+def test_batches_of_pairs_are_as_one_by_one():
+    """Windows, reaches and beginnings of all pairs at once give the very numbers of the plain loops."""
+    import random
+
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("abcdeéß𝔸 ") for _ in range(rnd.choice([0, 1, 2, 3, n])))
+    pairs = [(word(n), word(m)) for n in (5, 30, 63, 64, 65) for m in (4, 33, 64, 70, 300) for _ in range(12)]
+    pairs += [("a\0b\0", "b\0"), ("\0", "a"), ("", ""), ("x" * 64, "x" * 64), ("ab" * 32, "ba" * 40), ("martha", "marhta")]
+    a, b = ([p[k] for p in pairs] for k in (0, 1))
+    sort = lambda t: " ".join(sorted(t.split()))
+    for many, one in ((S.ratios, S.ratio_of), (S.partial_ratios, S.partial_ratio_of), (S.jaro_winklers, S.jaro_winkler_of),
+                      (S.token_sort_ratios, lambda x, y: S.ratio_of(sort(x), sort(y)))):
+        assert list(many(a, b)) == [one(x, y) for x, y in zip(a, b)], one
+    assert list(S.ratios([], [])) == []
