@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system: workers stay for later stages, and their memory counts while they are idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run, for mapInArrow, and then give_back."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
 def unit(*by: Column | str) -> Column:
     """A hash of the columns as a double in [0, 1)."""
     return (F.shiftrightunsigned(F.xxhash64(*by), 11).cast("double")) / F.lit(float(1 << 53))

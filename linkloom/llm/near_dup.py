@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import root_buckets, shared_dir, table, written
+from linkloom.llm.common import lean, root_buckets, shared_dir, table, written
 from linkloom.llm.components import components
 from linkloom.shared_files import mapped, save
 
@@ -110,7 +110,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "print", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, print binary, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, key long, n_shingles long, print binary, sig binary")
 
 
 def _bands(signed: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _bands(signed: DataFrame) -> DataFrame:
             keys = [band_keys(np.frombuffer(s, np.uint32)) for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["doc", "n", "band"])
 
-    return signed.select("node", "n_shingles", "sig").mapInArrow(run, "doc long, n long, band long")
+    return signed.select("node", "n_shingles", "sig").mapInArrow(lean(run), "doc long, n long, band long")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -144,11 +144,11 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -
 
     sig = reps.select(F.col("node").alias("doc"), "sig")
     near = pairs.join(sig.withColumnsRenamed({"doc": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"doc": "b", "sig": "sb"}), "b")
-    near = written(near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "near")
+    near = written(near.select("a", "b", "sa", "sb").mapInArrow(lean(alike), "a long, b long"), "near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     full = written(_sets(reps.join(wanted, "node", "left_semi"), docs, width).dropDuplicates(["doc"]), "sets")
     both = near.join(full.withColumnsRenamed({"doc": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"doc": "b", "set": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(exact), "a long, b long")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             keep = pa.array([xxhash.xxh3_128_digest(s) == p for s, p in zip(out, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "set"]).filter(keep)
 
-    return docs.select("key", "text").join(wanted.select("node", "key", "print"), "key").select("node", "print", "text").mapInArrow(run, "doc long, set binary")
+    return docs.select("key", "text").join(wanted.select("node", "key", "print"), "key").select("node", "print", "text").mapInArrow(lean(run), "doc long, set binary")
 
 
 def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
         return pd.DataFrame({"n": [len(pdf)]})
 
     marked = written(reps.select("node", "key", "print", "sig").join(wanted, "node", "left_semi"), "marked")
-    _sets(marked, docs, width).mapInArrow(dealt_to, "shard int, doc long, set binary").groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
+    _sets(marked, docs, width).mapInArrow(lean(dealt_to), "shard int, doc long, set binary").groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
 
     def codes(batches):
         for batch in batches:
@@ -201,7 +201,7 @@ def _apart_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int)
                 out.append(sig.astype(np.uint8).tobytes() + (band_keys(sig).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "code"])
 
-    coded = rest.join(marked.select("node", "sig").mapInArrow(codes, "doc long, code binary"), "doc")
+    coded = rest.join(marked.select("node", "sig").mapInArrow(lean(codes), "doc long, code binary"), "doc")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = coded.withColumn("own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))

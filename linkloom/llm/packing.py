@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table
+from linkloom.llm.common import lean, table
 
 WIDTH = 2048
 #: Documents in a group, about.
@@ -118,8 +118,8 @@ def first_fit_decreasing(lengths: Iterable[int], width: int = WIDTH) -> list[int
     return out
 
 
-def pieces(docs: DataFrame, groups: int, path: str, width: int = WIDTH) -> DataFrame:
-    """A row for each piece of each document (doc_id, text), with its group."""
+def pieces(docs: DataFrame, groups: int, path: str, width: int = WIDTH, remember: bool = True) -> DataFrame:
+    """A row for each piece of each document (doc_id, text), with its group. remember: chunks stay known to a worker's later tasks."""
 
     def run(batches):
         encoder = ChunkEncoder.of(path)
@@ -130,15 +130,17 @@ def pieces(docs: DataFrame, groups: int, path: str, width: int = WIDTH) -> DataF
                 sizes.append(len(ids) // 4)
                 crcs.append([crc for _, _, crc in cut(ids, width)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        if not remember:
+            encoder.known.clear()
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run if remember else lean(run), "doc_id long, doc_tokens long, crcs array<long>")
     rows = own.groupBy("doc_id", "doc_tokens", "crcs").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", "copy"), F.lit(groups)))
     rows = rows.select("doc_id", "doc_tokens", "pack_group", F.posexplode("crcs").alias("k", "ids_crc32")).withColumn("start", F.col("k").cast("long") * width)
     return rows.select("doc_id", "start", F.least(F.lit(width), F.col("doc_tokens") - F.col("start")).alias("length"), "ids_crc32", "doc_tokens", "pack_group")
 
 
-def pack(docs: DataFrame, rows: int, path: str | None = None, width: int = WIDTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, rows: int, path: str | None = None, width: int = WIDTH, group_docs: int = GROUP_DOCS, remember: bool = True) -> DataFrame:
     """Pieces of the documents with their sequence and their offset in it."""
 
     def place(pdf):
@@ -150,7 +152,7 @@ def pack(docs: DataFrame, rows: int, path: str | None = None, width: int = WIDTH
 
     groups = max(1, -(-rows // group_docs))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pieces(docs, groups, path or vocabulary_path(VOCABULARY), width).groupBy("pack_group").applyInPandas(place, schema)
+    return pieces(docs, groups, path or vocabulary_path(VOCABULARY), width, remember).groupBy("pack_group").applyInPandas(place, schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,5 +161,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as packed pieces."""
-    return pack(docs, docs.count())
+    """The documents as packed pieces. Workers stay for other stages, so they don't keep the chunks."""
+    return pack(docs, docs.count(), remember=False)

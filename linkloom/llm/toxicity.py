@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table, written
+from linkloom.llm.common import lean, table, written
 
 #: Examples, at most: the bound of the sample that is learned from.
 LEARN_ROWS = 3_000
@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
             counts = [[c[w] for w in ws] for c, ws in zip(own, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "toxic", "digest", "words", "counts"])
 
-    got = sample.mapInArrow(counted, "doc_id long, toxic int, digest binary, words array<string>, counts array<long>").collect()  # at most LEARN_ROWS vectors
+    got = sample.mapInArrow(lean(counted), "doc_id long, toxic int, digest binary, words array<string>, counts array<long>").collect()  # at most LEARN_ROWS vectors
     index = Index((r["doc_id"], r["toxic"], bytes(r["digest"]), r["words"], r["counts"]) for r in got)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
             found = index.shares(texts)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] if f else None for f in found], pa.float64()), pa.array(batch.column(2).to_pylist(), pa.int32())], ["p", "y"])
 
-    got = sorted((r["p"], r["y"]) for r in sample.mapInArrow(alone, "p double, y int").where("p IS NOT NULL").collect())  # at most LEARN_ROWS rows
+    got = sorted((r["p"], r["y"]) for r in sample.mapInArrow(lean(alone), "p double, y int").where("p IS NOT NULL").collect())  # at most LEARN_ROWS rows
     index.curve = fit_curve(np.array([p for p, _ in got]), np.array([y for _, y in got], float))
     return index
 
@@ -288,7 +288,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted", "evidence"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,4 +307,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             own = [s < 0.5 for s, _ in index.value.score(batch.column(at).to_pylist(), known)]
             yield batch.filter(pa.array(own, pa.bool_()))
 
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(keep, docs.schema)
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(lean(keep), docs.schema)

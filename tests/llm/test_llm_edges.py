@@ -134,3 +134,32 @@ def test_discounts_without_counts():
     assert lm.discounts(0, 0, 0, 0).tolist() == [0, 0.5, 0.5, 0.5]
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (lm.unmix(lm.mix(x)) == x).all()
+
+
+def test_pipeline_workers_give_back_what_they_held(spark, monkeypatch):
+    """Idle workers of the pipeline's packing kept up to 800,000 chunks each through all later stages."""
+    import gc
+    import weakref
+
+    from linkloom.llm import packing
+    from linkloom.llm.common import lean
+
+    class Held:
+        pass
+
+    seen = []
+
+    def run(batches):
+        held = Held()
+        seen.append(weakref.ref(held))
+        yield from batches
+
+    assert list(lean(run)([1, 2])) == [1, 2]
+    gc.collect()
+    assert seen[0]() is None
+    docs = spark.createDataFrame([(i, f"alpha beta {i}") for i in range(40)], "doc_id long, text string")
+    assert sorted(packing.pack(docs, 40).collect()) == sorted(packing.pack(docs, 40, remember=False).collect())
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.update(b))
+    packing.stage(spark, docs, "")
+    assert asked == {"remember": False}
