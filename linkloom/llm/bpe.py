@@ -116,6 +116,8 @@ class Bpe:
         self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self.lookahead = sufficient_lookahead([(self.bytes_of[vocab[a]], self.bytes_of[vocab[b]]) for a, b in merges])
         self.longest = int(self.size.max())
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.size))), np.uint8)
+        self.start = np.cumsum(self.size) - self.size
         self.pattern = regex.compile(PATTERN)
         self.runs = [(regex.compile(r), regex.compile(r"\s+(?!\S)" if r == r"\s" else r"(?:" + r + ")+")) for r in RUNS]
         self.chunks: dict[str, bytes] = {}
@@ -154,28 +156,23 @@ class Bpe:
         number = np.flatnonzero(sizes > 0)
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
         sizes = sizes[number]
+        seg = np.repeat(np.arange(len(number)), sizes)
+        rank = np.full(len(sym), NONE)
+        self._rank_pairs(sym, seg, rank, np.arange(len(sym)))
         while len(number):
-            seg = np.repeat(np.arange(len(number)), sizes)
             starts = np.cumsum(sizes) - sizes
-            rank = np.full(len(sym), NONE)
-            inner = np.flatnonzero(seg[:-1] == seg[1:])
-            key = sym[inner] << 20 | sym[inner + 1]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == key
-            rank[inner[hit]] = self.ranks[at[hit]]
             best = np.minimum.reduceat(rank, starts)
             done = best == NONE
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[number[k]] = sym[starts[k] : starts[k] + sizes[k]]
+                k = np.flatnonzero(done)
+                for w, a, b in zip(number[k].tolist(), starts[k].tolist(), (starts[k] + sizes[k]).tolist()):
+                    out[w] = sym[a:b]
                 keep = ~done[seg]
-                sym, rank, seg = sym[keep], rank[keep], seg[keep]
-                number, sizes, best_left = number[~done], sizes[~done], best[~done]
+                sym, rank = sym[keep], rank[keep]
+                number, sizes, best = number[~done], sizes[~done], best[~done]
                 if not len(number):
                     break
                 seg = np.repeat(np.arange(len(number)), sizes)
-                best = best_left
             take = np.flatnonzero(rank == best[seg])
             # of pairs that overlap, as in "aaa", the first, third ... of the run
             run = np.r_[True, np.diff(take) != 1]
@@ -186,9 +183,23 @@ class Bpe:
             keep = np.ones(len(sym), bool)
             keep[take + 1] = False
             sizes = sizes - np.bincount(seg[take], minlength=len(number))
-            sym = sym[keep]
+            sym, seg, rank = sym[keep], seg[keep], rank[keep]
+            # only pairs with a merged token have another rank; each merge before has taken one symbol away
+            now = take - np.arange(len(take))
+            self._rank_pairs(sym, seg, rank, np.concatenate([now, now[now > 0] - 1]))
         return out
 
+    def _rank_pairs(self, sym: np.ndarray, seg: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        """Sets the rank of the pairs that begin at some places: NONE if they can't merge or their window ends."""
+        rank[at] = NONE
+        at = at[at + 1 < len(sym)]
+        at = at[seg[at] == seg[at + 1]]
+        key = sym[at] << 20 | sym[at + 1]
+        found = np.searchsorted(self.keys, key)
+        found[found == len(self.keys)] = 0
+        hit = self.keys[found] == key
+        rank[at[hit]] = self.ranks[found[hit]]
+
     def settle(self, windows: list[bytes], whole: bool) -> list[tuple[bytes, int]]:
         """For each window of a pre-token's bytes its stable tokens, as little-endian 32-bit ids, and the bytes they cover.
 
@@ -200,10 +211,11 @@ class Bpe:
             for k, ids in zip(short[a : a + 8192], self.merge_many([windows[k] for k in short[a : a + 8192]])):
                 out[k] = ids
         for k, w in enumerate(windows):
-            ids = self.merge_one(w) if out[k] is None else out[k]
+            ids, size = self.merge_one(w) if out[k] is None else out[k], len(w)
             if not whole:
                 ids = ids[: np.searchsorted(np.cumsum(self.size[ids]), len(w) - self.lookahead, "right")]
-            out[k] = (ids.astype("<u4").tobytes(), int(self.size[ids].sum()))
+                size = int(self.size[ids].sum())
+            out[k] = (ids.astype("<u4").tobytes(), size)
         return out
 
     # -- encoding --------------------------------------------------------------------------------------------------
@@ -212,43 +224,58 @@ class Bpe:
         """text cut where a pre-token starts, whatever is around."""
         if "  " in text:
             return CHUNK.findall(text)
+        if "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out
+        return parts[:1] + [" " + p for p in parts[1:]]
 
     def prepare(self, parts: set[str]) -> None:
-        """Encodes the short parts that aren't remembered, all of their pre-tokens in one step."""
-        new = [c for c in parts if len(c) <= SHORT and c not in self.chunks]
+        """Encodes the short parts that aren't remembered, all of their new pre-tokens in one step."""
+        new = [c for c in parts.difference(self.chunks) if len(c) <= SHORT]
         if not new:
             return
         if self.held > CACHE_BYTES:
             self.chunks.clear()
             self.held = 0
             new = [c for c in parts if len(c) <= SHORT]
-        split = [[w.encode() for w in self.pattern.findall(c)] for c in new]
-        words = list({w for ws in split for w in ws})
-        known = {w: ids for w, (ids, _) in zip(words, self.settle(words, True))}
+        split = list(map(self.pattern.findall, new))
+        words = {w for ws in split for w in ws}
+        known = {w: self.chunks[w] for w in words if w in self.chunks}
+        words = list(words.difference(known))
+        known |= {w: ids for w, (ids, _) in zip(words, self.settle([w.encode() for w in words], True))}
         for c, ws in zip(new, split):
             ids = self.chunks[c] = b"".join([known[w] for w in ws])
             self.held += 200 + 2 * len(c) + len(ids)
 
-    def window(self, text: str) -> Iterator[bytes]:
-        """Ids of a text that ends where a pre-token ends, whatever follows."""
-        parts = self.parts(text)
-        self.prepare(set(parts))
+    def remembered(self, parts: list[str]) -> bytes | None:
+        """Ids of the parts, if all are remembered."""
         try:
-            yield b"".join(map(self.chunks.__getitem__, parts))
-        except KeyError:  # a long part
-            for p in parts:
-                if len(p) <= SHORT:
-                    yield self.chunks[p]
-                else:
-                    t = Transducer(self)
-                    yield t.feed(p)
-                    yield t.end()
-
-    def plain(self, text: str) -> Iterator[bytes]:
+            return b"".join(map(self.chunks.__getitem__, parts))
+        except KeyError:
+            return None
+
+    def window(self, text: str, parts: list[str] | None = None) -> Iterator[bytes]:
+        """Ids of a text that ends where a pre-token ends, whatever follows. parts: those of the text, if they are known."""
+        parts = self.parts(text) if parts is None else parts
+        ids = self.remembered(parts)
+        if ids is None:
+            self.prepare(set(parts))
+            ids = self.remembered(parts)
+        if ids is not None:
+            yield ids
+            return
+        for p in parts:
+            if len(p) <= SHORT:
+                yield self.chunks[p]
+            else:
+                t = Transducer(self)
+                yield t.feed(p)
+                yield t.end()
+
+    def plain(self, text: str, parts: list[str] | None = None) -> Iterator[bytes]:
+        if parts is not None and len(text) <= WINDOW:
+            yield from self.window(text, parts)
+            return
         at = 0
         while at < len(text):
             to = at + WINDOW
@@ -270,10 +297,10 @@ class Bpe:
                 at = look = to
             yield t.end()
 
-    def encode(self, text: str) -> Iterator[bytes]:
-        """Ids of the text, as little-endian unsigned 32-bit integers, in stable runs."""
-        if not any(s in text for s in self.special):
-            yield from self.plain(text)
+    def encode(self, text: str, parts: list[str] | None = None) -> Iterator[bytes]:
+        """Ids of the text, as little-endian unsigned 32-bit integers, in stable runs. parts: those of a text without special tokens, if they are known."""
+        if parts is not None or not any(s in text for s in self.special):
+            yield from self.plain(text, parts)
             return
         special, at = re.compile("|".join(map(re.escape, self.special))), 0
         for m in special.finditer(text):
@@ -288,9 +315,20 @@ class Bpe:
         """Text of the runs of ids, each run as soon as it is read: bytes of a character may come in different runs."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for run in runs:
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, np.frombuffer(run, "<u4").tolist())))
+            yield machine.decode(self.spelled(np.frombuffer(run, "<u4")))
         yield machine.decode(b"", True)
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, one after the other."""
+        out = []
+        for a in range(0, len(ids), WINDOW):
+            some = ids[a : a + WINDOW]
+            size = self.size[some]
+            end = np.cumsum(size)
+            if len(end):
+                out.append(self.flat[np.repeat(self.start[some] - (end - size), size) + np.arange(end[-1])].tobytes())
+        return b"".join(out)
+
 
 class Transducer:
     """Encodes a text that is fed in pieces of any size; feed returns the ids that have become stable."""
@@ -365,18 +403,15 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def ahead(bpe: Bpe, texts: list) -> Iterator[str]:
-    """The texts, after the new words of some of them have been encoded together. Longer ones come window by window."""
+def ahead(bpe: Bpe, texts: list) -> Iterator[tuple[str, list[str] | None]]:
+    """The texts and their parts, after the new words of some of them have been encoded together. Longer ones come without, window by window."""
     some, size = [], 0
     for k, text in enumerate(texts):
-        some.append(text or "")
-        size += len(some[-1])
+        text = text or ""
+        size += len(text)
+        some.append((text, None if len(text) > WINDOW or any(x in text for x in bpe.special) else bpe.parts(text)))
         if size >= AHEAD or k + 1 == len(texts):
-            parts: set[str] = set()
-            for t in some:
-                if len(t) <= AHEAD and not any(x in t for x in bpe.special):
-                    parts.update(bpe.parts(t))
-            bpe.prepare(parts)
+            bpe.prepare(set().union(*[parts for _, parts in some if parts]))
             yield from some
             some, size = [], 0
 
@@ -389,12 +424,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             out = []
-            for text in ahead(bpe, batch.column(1).to_pylist()):
+            for text, parts in ahead(bpe, batch.column(1).to_pylist()):
                 n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
 
-                def runs(text=text, ids=ids):
+                def runs(text=text, parts=parts, ids=ids):
                     nonlocal n
-                    for run in bpe.encode(text):
+                    for run in bpe.encode(text, parts):
                         ids.update(run)
                         n += len(run) // 4
                         yield run

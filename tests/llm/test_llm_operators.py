@@ -181,6 +181,23 @@ def test_bpe_merges_by_definition(tokenizer):
         assert plain(word) == many.tolist() == own.merge_one(word).tolist()
 
 
+def test_bpe_encodes_what_is_remembered_once(tokenizer, monkeypatch):
+    """Pre-tokens of new parts that are remembered aren't merged again, and pairs are ranked again only beside a merge."""
+    own, lib = tokenizer
+    own.chunks.clear()
+    b"".join(own.encode("so remember that"))
+    seen, ranked, settle, rank = [], [], bpe.Bpe.settle, bpe.Bpe._rank_pairs
+    monkeypatch.setattr(bpe.Bpe, "settle", lambda self, windows, whole: seen.extend(windows) or settle(self, windows, whole))
+    monkeypatch.setattr(bpe.Bpe, "_rank_pairs", lambda self, sym, seg, rnk, at: ranked.append(len(at)) or rank(self, sym, seg, rnk, at))
+    text = "so remember, that!"
+    assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == [b"!", b","]
+    ranked.clear()
+    words = [b"interestingly", b"remembering"]
+    rounds = [len(x) for x in own.merge_many(words)]
+    assert sum(ranked) <= sum(map(len, words)) + 2 * (sum(map(len, words)) - sum(rounds))
+
+
 def test_bpe_has_one_way_through_a_bounded_window(tokenizer, docs, monkeypatch):
     """Every id comes out of settle, whose windows stay small for a long text without any space."""
     import tracemalloc
