@@ -43,8 +43,8 @@ LEARN_ROWS = 3_000
 PASSAGE = 8
 NEIGHBOURS = 25
 BLOCK = 64
-#: Terms in more than one of so many examples are kept as whole rows of weights.
-OFTEN = 40
+#: Terms in more than one of so many examples are kept as whole rows of weights; rows that are sparser take longer to read than their postings.
+OFTEN = 4
 #: Examples in a part, of whose largest cosines the k-th is a bound for the k-th best.
 PARTED = 16
 #: Weight of the prior among the votes, as of a cosine.
@@ -63,7 +63,9 @@ def words_of(text: str | None) -> list[str]:
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -120,15 +122,20 @@ class Index:
         # the rare terms, posting by posting
         mine = np.flatnonzero(row < 0)
         size = self.at[term[mine] + 1] - self.at[term[mine]]
-        post, of = _ranges(self.at[term[mine]], size), np.repeat(mine, size)
-        dense = np.bincount((who * width)[of] + self.number[post], x[of] * self.weight[post], n * width).reshape(n, width).astype(float, copy=False)
+        post = _ranges(self.at[term[mine]], size)
+        cell, product = np.repeat(who[mine] * width, size), np.repeat(x[mine], size)
+        cell += self.number.take(post)
+        product *= self.weight.take(post)
+        dense = np.bincount(cell, product, n * width).reshape(n, width).astype(float, copy=False)
         # the frequent terms, in the blocks from the first to the last whose bound reaches the k-th best so far
         often = np.flatnonzero(row >= 0)
         if len(often):
             row, much, of = row[often], x[often], who[often]
             start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            some, low = of[start], self._low(dense, k, but)[0]
-            bound = dense.reshape(n, self.blocks, BLOCK).max(axis=2)[some] + np.add.reduceat(much[:, None] * self.most[row], start)
+            some, best = of[start], dense.reshape(n, self.blocks, BLOCK).max(axis=2)
+            # as many blocks have an example that good; copies that don't count may be these
+            low = np.partition(best, -k, axis=1)[:, -k] if but is None and k <= self.blocks else np.zeros(n)
+            bound = best[some] + np.add.reduceat(much[:, None] * self.most[row], start)
             able = bound >= low[some, None] - 1e-12
             a, b = able.argmax(axis=1) * BLOCK, width - able[:, ::-1].argmax(axis=1) * BLOCK
             each = np.diff(np.r_[start, len(of)])
@@ -145,7 +152,9 @@ class Index:
         if but is not None:
             other = self.copy_in.ravel()[number] != but[who]
             who, number, cos = who[other], number[other], cos[other]
-        by = np.lexsort((number, -cos, who))
+        by = np.argsort(number.astype(np.uint16) if width < 1 << 16 else number, kind="stable")
+        by = by[np.argsort(-cos[by], kind="stable")]
+        by = by[np.argsort(who[by].astype(np.uint16) if n < 1 << 16 else who[by], kind="stable")]  # numpy sorts short integers by radix
         who, number, cos = who[by], number[by], cos[by]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         return tuple(a[rank < k] for a in (who, number, cos))

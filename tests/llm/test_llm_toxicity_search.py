@@ -41,3 +41,12 @@ def test_nearest_is_exact(n, k, leave_out):
         best = np.sort(row[row > 1e-12])[::-1][:k]
         np.testing.assert_allclose(cos[q == j], best, atol=1e-9)
         np.testing.assert_allclose(row[number[q == j]], best, atol=1e-9)
+
+
+def test_rows_of_weights_are_not_sparse():
+    """A term is a row of weights only where that takes no more than a few times its postings: sparse rows were most of the work."""
+    rng = random.Random(3)
+    texts = [sorted(rng.sample(range(400), 20)) + [1000] * (i % 2) for i in range(400)]
+    index = toxicity.Index((i, i % 2, bytes([i % 256, i // 256]), [f"w{w}" for w in t], [1] * len(t)) for i, t in enumerate(texts))
+    assert index.rows.size <= 5 * index.weight.size
+    assert index.row[index.term["w1000"]] == 0 and len(index.rows) == 1
