@@ -104,6 +104,27 @@ def test_packing_doesnt_depend_on_the_order_of_rows(spark):
     assert packed(df) == packed(df.orderBy("text").repartition(7)) and len(packed(df)) >= len(rows)
 
 
+def test_packing_encodes_a_piece_once(monkeypatch):
+    """Every spelling of a word between spaces went through the whole tokenizer."""
+    encoder = packing.ChunkEncoder(packing.vocabulary_path(packing.VOCABULARY))
+    whole, pieces = [], []
+    monkeypatch.setattr(encoder, "encode", lambda new, f=encoder.encode: (whole.extend(new), f(new)))
+    monkeypatch.setattr(encoder, "encode_pieces", lambda new, f=encoder.encode_pieces: (pieces.extend(new), f(new)))
+    texts = ["Straße, straße. STRAßE; straße\nStraße.", "the “straße”, straße", "<|endoftext|> Straße"]
+    got = [i for t in texts for i in encoder.ids([t])]
+    assert got == [np.array(encoder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sorted(pieces) == sorted([",", ".", ";", "straße", "the"]) and sorted(whole) == sorted(["“straße”,", "<|endoftext|>"])
+
+
+def test_packing_has_the_tokenizers_ids():
+    encoder = packing.ChunkEncoder.of(packing.vocabulary_path(packing.VOCABULARY))
+    one = [chr(k) for k in range(0x180)]
+    texts = one + [f"A{c}b{c}{c}'s{c} {c}'LL1{c}2. ,{c}, {c}" for c in one] + [f"{c}{d}" for c in one[0x80:0x100] for d in "'.1a \u0301"]
+    texts += ["", " ", "a.. b., c", "<|startoftext|><|ENDOFTEXT|>A", "ΑΣ Σ σς İı K ﬁ", "日本 e\u0301 \u00ad"]
+    want = [np.array(encoder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encoder.ids(texts)) == want and [i for t in texts for i in encoder.ids([t])] == want
+
+
 def test_lm_fails_without_a_shard(spark, tmp_path):
     import os
 
