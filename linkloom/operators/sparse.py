@@ -21,7 +21,7 @@ from linkloom.shared_files import mapped, save
 #: Files of the vocabulary, by the upper bits of the hash.
 PARTS_BITS = 6
 #: Tokens weighed at a time, postings of a block, queries searched at a time, scores held at a time.
-TOKENS, POSTINGS, QUERIES, CELLS = 1 << 19, 1 << 20, 4096, 1 << 20
+TOKENS, POSTINGS, QUERIES, CELLS = 1 << 19, 1 << 20, 4096, 1 << 17
 
 
 def hashed(term: Column, seed: int) -> Column:
@@ -174,7 +174,9 @@ def _search(folder: str, names: list[str], ranks: list[np.ndarray], row: np.ndar
     cuts = np.searchsorted(row, np.arange(0, rows + step, step))
     for name, rank in zip(names, ranks):
         block = mapped(folder, name)
-        have, at, docs, weights = (np.asarray(block[c]) for c in ("term", "at", "doc", "w"))
+        have, at = np.asarray(block["term"]), np.asarray(block["at"])
+        posts = np.empty(len(block["doc"]), np.complex128)  # document and weight side by side: one gather fetches both
+        posts.real, posts.imag = block["doc"], block["w"]
         place = np.minimum(np.searchsorted(have, asked), len(have) - 1)
         start, size = at[place], np.where(have[place] == asked, at[place + 1] - at[place], 0)
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -187,9 +189,10 @@ def _search(folder: str, names: list[str], ranks: list[np.ndarray], row: np.ndar
             spot = np.repeat(start[which] - (np.cumsum(n) - n), n)
             spot += np.arange(len(spot))
             cell = np.repeat((row[a:b][some] - i * step) * len(rank), n)
-            cell += docs[spot]
+            found = posts.take(spot, mode="clip")
+            cell += found.real.astype(np.int64)
             product = np.repeat(w[a:b][some], n)
-            product *= weights[spot]
+            product *= found.imag
             best.setdefault(i, _Best(queries, k)).add(np.bincount(cell, product, minlength=queries * len(rank)).reshape(queries, len(rank)), rank)
     for i in sorted(best):
         query, score, doc, place = best[i].settle()
